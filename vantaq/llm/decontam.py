@@ -39,6 +39,7 @@ BITS = 20
 @dataclass
 class Index:
     item: np.ndarray  # item_id of each item
+    null: np.ndarray  # whether it has none
     term: np.ndarray  # sorted keys of terms
     first: np.ndarray  # postings of each term: posting_item, posting_impact
     posting_item: np.ndarray
@@ -86,7 +87,7 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     np.maximum.at(ceiling, (t, block_of[d]), impact)
     cut = [len(w) - max(1, round(ANSWER * len(w))) if len(w) >= 2 * GRAM else 0 for w in words]
     return Index(
-        np.array(ids, np.int64), term, np.searchsorted(t, np.arange(len(term) + 1)), d, impact, block_of, ceiling,
+        np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), term, np.searchsorted(t, np.arange(len(term) + 1)), d, impact, block_of, ceiling,
         [np.unique(_grams(w[:c], GRAM)) for w, c in zip(words, cut)], [np.unique(_grams(w[max(0, c - GRAM + 1) :] if c else w, GRAM if c else len(w))) for w, c in zip(words, cut)], size,
     )
 
@@ -156,10 +157,14 @@ class Searcher:
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
 
+def _index(docs: DataFrame, benchmark: DataFrame):
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").collect()  # the benchmark
+    return docs.sparkSession.sparkContext.broadcast(build([r[0] for r in items], [r[1] for r in items]))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """doc_id, item_id, score (1 for the item's own text), question_overlap and answer_overlap of every verified pair."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").collect()  # the benchmark
-    index = docs.sparkSession.sparkContext.broadcast(build([r[0] for r in items], [r[1] for r in items]))
+    index = _index(docs, benchmark)
     state: dict[str, Searcher] = {}
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -167,7 +172,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overl
             state["it"] = Searcher(index.value, threshold, overlap)
         rows, ids = [], batch.column(0)
         for b in ts.blocks(batch.column(1)):
-            rows += [(ids[b.first + d].as_py(), int(index.value.item[i]), *v) for d, i, *v in state["it"].block(b)]
+            rows += [(ids[b.first + d].as_py(), None if index.value.null[i] else int(index.value.item[i]), *v) for d, i, *v in state["it"].block(b)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
+    """The rows of docs without a verified pair."""
+    index = _index(docs, benchmark)
+    at = docs.columns.index("text")
+    state: dict[str, Searcher] = {}
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if "it" not in state:
+            state["it"] = Searcher(index.value, threshold, overlap)
+        good = np.ones(batch.num_rows, bool)
+        for b in ts.blocks(batch.column(at)):
+            good[[b.first + d for d, *_ in state["it"].block(b)]] = False
+        return batch.filter(pa.array(good))
+
+    return docs.mapInArrow(per_batch(keep), docs.schema)

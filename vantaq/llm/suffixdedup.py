@@ -371,8 +371,8 @@ def spans(docs: DataFrame, width: int = 50) -> DataFrame:
     return found
 
 
-def cut(docs: DataFrame, width: int = 50) -> DataFrame:
-    """docs with ``kept`` (the remaining bytes), n_bytes, n_removed and n_spans."""
+def cut(docs: DataFrame, width: int = 50, text: bool = False) -> DataFrame:
+    """docs with ``kept`` (the remaining bytes; as text, parts of characters that were cut are left out), n_bytes, n_removed and n_spans."""
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     found = spans(docs, width).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("span").alias("_spans"))
@@ -403,7 +403,7 @@ def cut(docs: DataFrame, width: int = 50) -> DataFrame:
             n_removed.append(np.diff(total[b.byte_off]))
             n_spans.append(np.diff(first))
         more = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (n_bytes, n_removed, n_spans)]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), *more], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if text else pa.array(kept, pa.binary()), *more], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
+    out = T.StructType([*docs.schema.fields, T.StructField("kept", T.StringType() if text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
     return both.mapInArrow(per_batch(remove), out)
