@@ -21,7 +21,6 @@ matches never cross documents.
 
 from __future__ import annotations
 
-import gc
 import struct
 from collections.abc import Iterator
 
@@ -40,7 +39,7 @@ SEED = 16
 #: Bytes of text whose strings are sent on together.
 FLUSH_BYTES = 8 << 20
 #: Suffixes sorted at once.
-SORT_ROWS = 1 << 20
+SORT_ROWS = 1 << 19
 _COVER = (0, 1, 3)
 _IN_COVER = np.array([0, 1, -1, 2, -1, -1, -1])
 _SHIFT = np.array([[next(d for d in range(7) if (a + d) % 7 in _COVER and (b + d) % 7 in _COVER) for b in range(7)] for a in range(7)])
@@ -194,42 +193,64 @@ def stretches(block: ts.Block, width: int) -> tuple[np.ndarray, ...]:
     return np.searchsorted(off, at, "right") - 1, at, count, m[at]
 
 
-_HEAD = struct.Struct("<qqq")
+_HEAD = struct.Struct("<qqqq")
 
 
-def _encode(seed: np.ndarray, size: np.ndarray, times: np.ndarray, doc: np.ndarray, pos: np.ndarray, text: np.ndarray) -> bytes:
-    raw = b"".join((_HEAD.pack(len(seed), len(doc), len(text)), seed.astype("<u4").tobytes(), size.astype("<i4").tobytes(), times.astype("<i4").tobytes(), doc.astype("<i8").tobytes(), pos.astype("<i4").tobytes(), text.tobytes()))
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """The numbers' lowest bytes, then the next, and so on: they compress apart."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _decode(blob: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, k, m = _HEAD.unpack_from(raw)
+class Codec:
+    """Compresses strings with the help of some sample text, which only makes the blobs smaller."""
+
+    def __init__(self, sample: bytes) -> None:
+        more = {"dict_data": zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(sample) >= 8 else {}
+        self.pack = zstandard.ZstdCompressor(level=6, **more).compress
+        self.unpack = zstandard.ZstdDecompressor(**more).decompress
+
+
+def _encode(codec: Codec, seed: np.ndarray, size: np.ndarray, times: np.ndarray, doc: np.ndarray, pos: np.ndarray, text: np.ndarray) -> bytes:
+    """seed ascends."""
+    least = int(doc.min())
+    step = np.diff(seed, prepend=U64(0))
+    raw = b"".join((_HEAD.pack(len(seed), len(doc), len(text), least), _planes(step, "<u4"), _planes(size, "<u4"), _planes(times, "<u4"), _planes(doc - least, "<u8"), _planes(pos, "<u4"), text.tobytes()))
+    return codec.pack(raw)
+
+
+def _decode(codec: Codec, blob: bytes) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(codec.unpack(blob), np.uint8)
+    n, k, m, least = _HEAD.unpack_from(raw)
     at, out = _HEAD.size, []
-    for kind, count in (("<u4", n), ("<i4", n), ("<i4", n), ("<i8", k), ("<i4", k), ("u1", m)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += out[-1].nbytes
-    return tuple(out)
+    for kind, count in (("<u4", n), ("<u4", n), ("<u4", n), ("<u8", k), ("<u4", k)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + width * count].reshape(width, count).T).view(kind).ravel().astype(np.int64))
+        at += width * count
+    seed, size, times, doc, pos = out
+    return np.cumsum(seed), size, times, doc + least, pos, raw[at : at + m]
 
 
 def gather(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches text[start:start+size], one after the other."""
     first = np.cumsum(size) - size
-    step = 1 << 16
+    step = 1 << 12
     out = [text[np.repeat(start[i : i + step] - first[i : i + step] + first[i], size[i : i + step]) + np.arange(size[i : i + step].sum())] for i in range(0, len(start), step)]
     return np.concatenate(out) if out else np.zeros(0, text.dtype)
 
 
-def _send(width: int, buckets: int):
+def _send(width: int, buckets: int, sample: bytes = b""):
+    codec: list[Codec] = []
+
     def flush(held: list) -> Iterator[tuple[int, bytes]]:
         base = np.cumsum([0, *(len(x[0]) for x in held)])
         text = np.concatenate([x[0] for x in held])
         doc, at, pos, count, seed, name = (np.concatenate([x[i] + base[j] if i == 2 else x[i] for j, x in enumerate(held)]) for i in (1, 2, 3, 4, 5, 6))
         bucket = (ts.mix(seed) >> U64(33)) % U64(buckets)
-        order = np.lexsort((name, bucket))
+        seed &= U64(0xFFFFFFFF)
+        order = np.lexsort((name, (bucket << U64(32)) | seed))
         doc, at, pos, count, seed, name, bucket = (x[order] for x in (doc, at, pos, count, seed, name, bucket))
         fresh = np.ones(len(name), bool)
-        fresh[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
+        fresh[1:] = (name[1:] != name[:-1]) | (seed[1:] != seed[:-1]) | (bucket[1:] != bucket[:-1])
         heads = np.flatnonzero(fresh)
         times = np.diff(np.append(heads, len(name)))
         edge = np.flatnonzero(np.append(True, bucket[heads][1:] != bucket[heads][:-1]))
@@ -238,9 +259,10 @@ def _send(width: int, buckets: int):
             h = heads[i:j]
             lo, hi = h[0], h[-1] + times[j - 1]
             size = count[h] + (width - 1)
-            yield int(bucket[lo]), _encode(seed[h] & U64(0xFFFFFFFF), size, times[i:j], doc[lo:hi], pos[lo:hi], gather(text, at[h], size))
+            yield int(bucket[lo]), _encode(codec[0], seed[h], size, times[i:j], doc[lo:hi], pos[lo:hi], gather(text, at[h], size))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec[:] = codec or [Codec(sample)]
         held, held_bytes = [], 0
 
         def out() -> pa.RecordBatch:
@@ -264,13 +286,13 @@ def _send(width: int, buckets: int):
     return send
 
 
-def settle(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def settle(blobs: list[bytes], width: int, codec: Codec | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's removed stretches: doc_id, first byte, end."""
     none = np.zeros(0, np.int64)
-    parts = [_decode(b) for b in blobs]
+    codec = codec or Codec(b"")
+    parts = [_decode(codec, b) for b in blobs]
     seed, size, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
-    size, times = size.astype(np.int64), times.astype(np.int64)
-    doc, pos = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]).astype(np.int64)
+    doc, pos = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
     text = np.concatenate([p[5] for p in parts])
     del parts
     at, occ = np.cumsum(size) - size, np.cumsum(times) - times
@@ -322,7 +344,7 @@ def settle(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     whole = alone[o_string] & (doc > s_low[o_string])
     out = [(doc[whole], pos[whole], pos[whole] + s_size[o_string[whole]])]
     part = np.flatnonzero(~alone[o_string])
-    for c in np.array_split(part, max(1, -(-len(part) // 200_000))):
+    for c in np.array_split(part, max(1, -(-len(part) // 50_000))):
         if not len(c):
             continue
         s = o_string[c]
@@ -336,12 +358,12 @@ def settle(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
-def _settle_all(width: int):
+def _settle_all(width: int, sample: bytes):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, codec = None, [], Codec(sample)
 
         def done() -> Iterator[pa.RecordBatch]:
-            doc, start, end = settle(blobs, width)
+            doc, start, end = settle(blobs, width, codec)
             for i in range(0, len(doc), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + (1 << 17)]), pa.array(((start << 32) | end)[i : i + (1 << 17)])], names=["doc_id", "span"])
 
@@ -360,15 +382,12 @@ def _settle_all(width: int):
 
 def spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id and the spans (start << 32 | end, in bytes; they may overlap) that documents of smaller doc_id hold too."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    sent = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_send(width, 4 * n), "bucket int, blob binary")
-    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_all(width), "doc_id long, span long")
-    found = written(found, "spans")
-    del sent
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffled strings before more is shuffled
-    return found
+    n = partitions(docs.sparkSession)
+    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Some text for the compressor to start from; no result depends on it.
+    sample = "\n".join(r[0] for r in docs.filter(F.col("text").isNotNull()).select(F.substring("text", 1, 400)).limit(500).collect()).encode()[:200_000]
+    sent = docs.mapInArrow(_send(width, 4 * n, sample), "bucket int, blob binary")
+    return written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_all(width, sample), "doc_id long, span long"), "spans")
 
 
 def cut(docs: DataFrame, width: int = 50, text: bool = False) -> DataFrame:
