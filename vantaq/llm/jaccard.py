@@ -6,8 +6,8 @@ at every level the token with the least hash under the path so far is chosen, so
 with their Jaccard similarity as the chance. Buckets are paths of two tokens; those with more members
 than ``limit`` are split further, up to ``DEPTH`` tokens. The number of runs follows from the target recall at the threshold
 similarity and full depth; shallower buckets do better. Inside a bucket all pairs are compared exactly.
-A bucket that is still large at full depth is compared block against block, in as many groups as there are pairs of
-blocks, so no group exceeds two blocks. A pair that shares several buckets counts in the one of least number.
+A bucket of more than ``PART`` members is compared block against block, in as many groups as there are pairs of
+blocks, so no group much exceeds two blocks. A pair that shares several buckets counts in the one of least number.
 
 Cases: texts of one to four words have one shingle, all their words; null texts and those without words
 have none and link to nothing; rows without doc_id are left out of all links; rows that repeat a doc_id are taken for
@@ -30,6 +30,8 @@ from .base import partitions, per_batch, shared_dir, written
 U64 = np.uint64
 SHINGLE = 5
 LEVELS, DEPTH = 2, 4
+#: Members of a bucket that are compared in one group; larger buckets go block against block.
+PART = 256
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -127,7 +129,7 @@ def _refine(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.array(keys, U64).view(np.int64))], names=["rep", "key"])
 
 
-def _ship(limit: int):
+def _ship():
     def ship(batch: pa.RecordBatch) -> pa.RecordBatch:
         """A row for each group that a representative takes part in."""
         group, side, rep, copies, size, buckets, sets = [], [], [], [], [], [], []
@@ -140,7 +142,7 @@ def _ship(limit: int):
                 raw = tokens[off[d] : off[d + 1]].tobytes()
                 r = batch.column(0)[i].as_py()
                 for x in listed:
-                    parts = -(-x["c"] // limit) if x["c"] > limit else 1
+                    parts = -(-x["c"] // PART)
                     at = int(ts.mix(np.array([r], np.int64).view(U64))[0] % U64(parts))
                     for other in range(parts):
                         pair = np.array([x["bucket"], min(at, other), max(at, other)], np.int64).view(U64)
@@ -291,7 +293,7 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit:
         found = written(found.filter(F.col("c") <= limit).unionByName(_buckets(deeper)), "buckets")
     need = found.groupBy("rep").agg(F.collect_list(F.struct("bucket", "c")).alias("buckets")).join(reps, "rep")
     shipped = docs.join(need, docs["doc_id"] == need["rep"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "copies", "buckets")
-    shipped = shipped.mapInArrow(per_batch(_ship(limit)), "group long, bucket long, side int, rep long, copies long, size long, buckets array<long>, tokens binary")
+    shipped = shipped.mapInArrow(per_batch(_ship()), "group long, bucket long, side int, rep long, copies long, size long, buckets array<long>, tokens binary")
     linked = shipped.repartition(partitions(spark), "group").sortWithinPartitions("group", "bucket").mapInArrow(_compare_all(threshold), "rep long, links long, root long")
     linked = written(linked, "links")
     roots = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
