@@ -37,7 +37,7 @@ from .base import partitions, per_batch, written
 U64 = np.uint64
 SEED = 16
 #: Bytes of text whose strings are sent on together.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 6 << 20
 #: Suffixes sorted at once.
 SORT_ROWS = 1 << 19
 _COVER = (0, 1, 3)
@@ -271,7 +271,7 @@ def _send(width: int, buckets: int, sample: bytes = b""):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for b in ts.blocks(batch.column(1)):
+            for b in ts.blocks(batch.column(1), ts.BLOCK_BYTES // 2):
                 doc, at, count, seed = stretches(b, width)
                 if len(at):
                     name = ts.Rolling(ts._char_codes()[b.buf]).of(at, at + count + (width - 1))
