@@ -109,7 +109,7 @@ def marked(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return codes, off
 
 
-def fit(docs: DataFrame, train: Column, sample: int = 8000, words: int = 200_000) -> Model:
+def fit(docs: DataFrame, train: Column, sample: int = 8000, words: int = 50_000) -> Model:
     """docs: text and lang, and the columns that ``train`` needs."""
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()

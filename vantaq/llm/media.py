@@ -81,7 +81,9 @@ class Reader(DataSourceReader):
         store, root = filesystem(self.path)
         return store.open_input_file(f"{root}/{name}")
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # nothing was planned
+            return
         rows: list[tuple] = []
         held = 0
         for row in self.members(part):
