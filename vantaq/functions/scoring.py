@@ -105,10 +105,9 @@ def refinement(row: dict[str, Column], multiplier: float = 0.1) -> tuple[Column,
     sound = has(notes, "sound", "validated")
     step(rationale & sound, 0.1, "rationale_validated")
     step(rationale & ~sound & has(notes, "flawed", "invalid"), -0.2, "rationale_validated")
-    score = row["confidence_score"]
-    for when, by, _ in steps:
-        moved = F.least(F.lit(1.0), score + by) if by > 0 else F.greatest(F.lit(0.0), score + by)
-        score = F.when(when, moved).otherwise(score)
+    # A fold over the moves: nesting one step in the next would double the expression each time.
+    moves = F.array(*[F.when(when, F.lit(float(by))).otherwise(F.lit(0.0)) for when, by, _ in steps])
+    score = F.aggregate(moves, row["confidence_score"], lambda s, d: F.when(d > 0, F.least(F.lit(1.0), s + d)).when(d < 0, F.greatest(F.lit(0.0), s + d)).otherwise(s))
     never = never_submit(row["title"], row["description"], row["cwe_id"])
     score = F.when(never.isNotNull(), F.greatest(F.lit(0.0), score * multiplier)).otherwise(score)
     factors = F.array_compact(F.array(*[F.when(when, F.lit(f)) for when, _, f in steps if f], F.when(never.isNotNull(), F.lit("never_submit_match"))))

@@ -249,11 +249,11 @@ def m5(spark, sf):
     return consensus(spark, sf).select("ord", r6(scoring.ai_confidence(F.exists("evidence", lambda e: e == "llm_analysis"), F.col("verification_status"), F.col("cross_ref"), F.col("consensus_score"))).alias("ai_confidence"))
 
 
-@query("m13_severity_rubric", f"{FIND}, x AS (SELECT ord, confidence_score * (CAST(ord % 11 AS DOUBLE) / 10) * CASE WHEN ord % 3 = 0 THEN 0.5 ELSE 1.0 END * CASE ord % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.8 ELSE 1.0 END * CASE ord % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 WHEN 2 THEN 0.85 ELSE 1.0 END AS s FROM findings) SELECT ord, round(s, 6) AS score, CASE WHEN round(s, 6) >= 0.8 THEN 'critical' WHEN round(s, 6) >= 0.5 THEN 'high' WHEN round(s, 6) >= 0.2 THEN 'medium' ELSE 'low' END AS severity FROM x")
+@query("m13_severity_rubric", f"{FIND}, x AS (SELECT ord, confidence_score * (CAST(ord % 11 AS DOUBLE) / 10) * CASE WHEN ord % 3 = 0 THEN 0.5 ELSE 1.0 END * CASE ord % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.8 ELSE 1.0 END * CASE ord % 4 WHEN 0 THEN 0.3 WHEN 1 THEN 0.6 WHEN 2 THEN 0.85 ELSE 1.0 END AS s FROM findings) SELECT ord, round(s, 8) AS score, CASE WHEN round(s, 6) >= 0.8 THEN 'critical' WHEN round(s, 6) >= 0.5 THEN 'high' WHEN round(s, 6) >= 0.2 THEN 'medium' ELSE 'low' END AS severity FROM x")
 def m13(spark, sf):
     k = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("ord") % n + 1).cast("int"))
     s = scoring.rubric(F.col("confidence_score"), (F.col("ord") % 11).cast("double") / 10, F.lit(1.0), F.col("ord") % 3 == 0, k(3, "read", "write", "both"), k(4, "low", "medium", "high", "critical"))
-    return view(spark, sf, "findings").withColumn("s", s).select("ord", r6("s").alias("score"), scoring.rubric_severity(F.col("s")).alias("severity"))
+    return view(spark, sf, "findings").withColumn("s", s).select("ord", F.round("s", 8).alias("score"), scoring.rubric_severity(F.col("s")).alias("severity"))
 
 
 @query("f1_finding_ids", f"{FIND} SELECT ord, sha256(CAST(file_path || coalesce(CAST(line_number AS STRING), '') || coalesce(cwe_id, '') || title AS BLOB) || unhex(sha256(CASE WHEN code_snippet IS NULL THEN '\\x00'::BLOB ELSE '\\x01'::BLOB || CAST(code_snippet AS BLOB) END))) AS finding_id FROM findings")
@@ -275,9 +275,9 @@ def f37(spark, sf):
     return view(spark, sf, "findings").select("ord", ids.domain_of(F.col("cwe_id"), ids.HUNT_DOMAINS).alias("hunt_domain"), ids.taxonomy(F.col("cwe_id")).alias("taxonomy"))
 
 
-@query("f34_cwe_numbers", f"{FIND} SELECT ord, CASE WHEN contains(cwe_id, '-') THEN substr(cwe_id, strpos(cwe_id, '-') + 1) END AS suffix, TRY_CAST(replace(cwe_id, 'CWE-', '') AS INT) AS number FROM findings")
+@query("f34_cwe_numbers", f"{FIND} SELECT ord, CASE WHEN contains(cwe_id, '-') THEN substr(cwe_id, strpos(cwe_id, '-') + 1) END AS suffix, coalesce(TRY_CAST(replace(cwe_id, 'CWE-', '') AS INT), -1) AS number FROM findings")
 def f34(spark, sf):
-    return view(spark, sf, "findings").select("ord", text.cwe_number(F.col("cwe_id")).alias("suffix"), text.cwe_int(F.col("cwe_id")).alias("number"))
+    return view(spark, sf, "findings").select("ord", text.cwe_number(F.col("cwe_id")).alias("suffix"), F.coalesce(text.cwe_int(F.col("cwe_id")), F.lit(-1)).alias("number"))
 
 
 @query("f35_paths", f"{ctes('files')} SELECT ord, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, list_extract(string_split(path, '/'), -1) AS name, regexp_extract(path, '\\.([^.]*)$', 1) AS ext, language AS lang FROM files")
