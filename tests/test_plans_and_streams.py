@@ -47,7 +47,7 @@ def test_stream_baseline(spark, tmp_path):
 def test_stream_windows(spark, tmp_path):
     rows = [(f"i{k}", "a.py", "CWE-1", "high", 0.5, k * 10) for k in range(5)] + [("i0", "a.py", "CWE-1", "high", 0.5, 0), ("x", "a.py", "CWE-1", "low", 0.9, 500)]
     spark.createDataFrame(rows, "id string, file_path string, cwe_id string, severity string, confidence_score double, s int").coalesce(1).write.json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, file_path string, cwe_id string, severity string, confidence_score double, s int").json(str(tmp_path / "in")).withColumn("t", F.timestamp_seconds("s"))
+    stream = spark.readStream.schema("id string, file_path string, cwe_id string, severity string, confidence_score double, s int").json(str(tmp_path / "in")).withColumn("t", F.timestamp_seconds(F.col("s") + 1_000_000))
     once = online.first_of_id(stream, "t", "1 hour")
     for name, out in (("once", once), ("bursts", online.bursts(stream, "t", "60 seconds", "10 seconds")), ("counts", online.severity_counts(stream, "t", "100 seconds", "10 seconds"))):
         out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
