@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import ctes, view
 from .functions import ids, scoring, text, verdict
-from .operators import evaluation, findings, history, planning, retrieval
+from .operators import code, evaluation, findings, history, planning, retrieval
 from .schema import at_least, severity_rank
 from .sinks import writers
 from .sources import readers
@@ -659,3 +659,23 @@ def o6(spark, sf):
 @query("f40_never_submit", f"{FIND} SELECT ord, CASE {' '.join(f'''WHEN regexp_matches(lower(title || ' ' || description || ' ' || coalesce(cwe_id, '')), '{p}') THEN '{k}' ''' for k, p in scoring.NEVER_SUBMIT.items())} END AS label FROM findings")
 def f40(spark, sf):
     return view(spark, sf, "findings").select("ord", scoring.never_submit(F.col("title"), F.col("description"), F.col("cwe_id")).alias("label"))
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as source files."""
+    return spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+
+
+@query("f56_call_sites")
+def f56(spark, sf):
+    return code.calls(_sources(spark, sf)).select("path", "callee", "args", code.category(F.col("callee")).alias("category"))
+
+
+@query("a33_callee_groups")
+def a33(spark, sf):
+    return code.abstraction(code.calls(_sources(spark, sf))).withColumn("callees", joined("callees"))
+
+
+@query("f58_function_bodies")
+def f58(spark, sf):
+    return code.functions(_sources(spark, sf)).select("path", "name", "line", F.length("body").alias("size"))
