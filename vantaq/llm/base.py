@@ -10,7 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bounds of what crosses to Python at once, where the session leaves them at their defaults: texts may be long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    known = spark.sparkContext.getConf()
+    for key, value in ARROW.items():
+        if not known.contains(key):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ from . import textscan as ts
 from .base import written
 
 #: Distinct words kept per worker before the table starts afresh.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 SEPARATOR = 0
 
 

@@ -25,7 +25,7 @@ from . import textscan as ts
 from .base import per_batch
 
 #: Pieces kept per worker before the table starts afresh.
-KNOWN_PIECES = 1_500_000
+KNOWN_PIECES = 800_000
 
 
 class Counter:
