@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantaq.llm import decontam, jaccard, langid, packing, suffixdedup
-from vantaq.llm.base import table, written
+from vantaq.llm.base import prepare, table, written
 
 #: The least score of a language.
 SURE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     fitted = langid.fit(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     judged = langid.predict(docs, fitted)
     return judged.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select(docs.columns)
