@@ -129,6 +129,20 @@ def test_jaccard_join(spark, monkeypatch, limit, part):
     assert got == near(docs)
 
 
+def test_a_large_bucket_is_split_along_every_run(spark):
+    """Families of 16 texts of a template with four two-valued slots: the farthest pairs are at exactly 0.8 and share only buckets that
+    hold the whole family, in most of the 14 runs."""
+    docs: list[tuple[int, str | None]] = []
+    for family in range(8):
+        for values in range(16):
+            w = [f"f{family}w{k}" for k in range(184)]
+            for slot, at in enumerate((20, 60, 100, 140)):
+                w[at] += "ab"[values >> slot & 1]
+            docs.append((len(docs), " ".join(w)))
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), limit=8).collect()}
+    assert got == near(docs) == {d: (15, d // 16 * 16) for d, _ in docs}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

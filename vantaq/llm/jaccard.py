@@ -104,10 +104,12 @@ def _signatures(runs: int):
     return sign
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """rows: rep, key. Buckets of two members or more, one of those with the same members: rep, bucket, c."""
+def _buckets(rows: DataFrame, limit: int | None) -> DataFrame:
+    """rows: rep, key. Buckets of two members or more, one of those with the same members: rep, bucket, c. Buckets of more than
+    ``limit`` members all stay, as each is split along its own path."""
     stats = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("c > 1")
-    one = stats.groupBy("c", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c")
+    own = F.lit(None).cast("long") if limit is None else F.when(F.col("c") > limit, F.col("key"))
+    one = stats.groupBy("c", "x", "lo", "hi", own.alias("own")).agg(F.min("key").alias("key")).select("key", "c")
     return rows.join(one, "key").select("rep", F.col("key").alias("bucket"), "c")
 
 
@@ -283,14 +285,14 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit:
     sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = sets.select("rep", "copies")
     rows = signed.filter("n > 0").join(reps.select("rep"), signed["doc_id"] == F.col("rep")).select("rep", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    found = written(_buckets(rows), "buckets")
-    for _ in range(LEVELS, DEPTH):
+    found = written(_buckets(rows, limit), "buckets")
+    for level in range(LEVELS + 1, DEPTH + 1):
         big = found.filter(F.col("c") > limit)
         if big.isEmpty():
             break
         need = big.groupBy("rep").agg(F.collect_list("bucket").alias("paths"))
         deeper = docs.join(need, docs["doc_id"] == need["rep"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "paths").mapInArrow(per_batch(_refine), "rep long, key long")
-        found = written(found.filter(F.col("c") <= limit).unionByName(_buckets(deeper)), "buckets")
+        found = written(found.filter(F.col("c") <= limit).unionByName(_buckets(deeper, limit if level < DEPTH else None)), "buckets")
     need = found.groupBy("rep").agg(F.collect_list(F.struct("bucket", "c")).alias("buckets")).join(reps, "rep")
     shipped = docs.join(need, docs["doc_id"] == need["rep"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "copies", "buckets")
     shipped = shipped.mapInArrow(per_batch(_ship()), "group long, bucket long, side int, rep long, copies long, size long, buckets array<long>, tokens binary")
