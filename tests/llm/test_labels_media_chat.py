@@ -70,6 +70,21 @@ def test_neighbours_are_exact():
         assert m.doc[best].tolist() == exact_neighbours(m, term, w, toxicity.NEIGHBOURS)
 
 
+@pytest.mark.parametrize("n", [65, 130, 200, 256])
+def test_neighbours_are_exact_when_the_first_blocks_hold_all_examples(n):
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        terms = np.unique(rng.integers(0, 40, 12))
+        rows.append((i, int(3 in terms), terms.tolist(), rng.integers(1, 4, len(terms)).tolist()))
+    m = toxicity.model(np.arange(1, 41, dtype=np.uint64), np.ones(40) + np.arange(40) / 10, rows)
+    for _ in range(20):
+        term = np.unique(rng.integers(0, 40, 5))
+        w = toxicity.weights(np.zeros(len(term), np.int64), term, np.ones(len(term), np.int64), m.idf, 1)
+        best, _ = toxicity.nearest(m, term, w)
+        assert m.doc[best].tolist() == exact_neighbours(m, term, w, toxicity.NEIGHBOURS)
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     rows = []

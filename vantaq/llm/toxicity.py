@@ -85,7 +85,7 @@ def nearest(m: Model, term: np.ndarray, w: np.ndarray, skip: int = -1, k: int =
             break
         at = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         at = at[at < len(m.label)]
-        sim = w @ m.weight[np.ix_(term, at)] if len(at) < m.weight.shape[1] else w @ m.weight[term]
+        sim = w @ m.weight[np.ix_(term, at)]
         good = (sim > 1e-9) & (at != skip)
         best, score = np.concatenate([best, at[good]]), np.concatenate([score, sim[good]])
         top = np.lexsort((m.doc[best], -np.round(score, 6)))[:k]
