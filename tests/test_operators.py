@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import importlib
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from vantaq import queries
+from vantaq import fixtures, queries
 from vantaq.operators import evaluation, findings, history, planning
 from vantaq.sources import readers
 
@@ -40,6 +41,18 @@ def test_cross_file(spark):
     assert related[0] == ["i1", "i2"] and related[3] is None
 
 
+def test_whole_cross_file_queries_against_brute_force(spark, tmp_path):
+    events = [(k, k * 7 % 60, ("click", "purchase", "error", "view")[k % 4]) for k in range(1, 241)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    f = fixtures.view(spark, str(tmp_path), "findings").select("ord", "file_path", "cwe_id", "severity", "sources").collect()
+    alike = lambda a, b: a.file_path != b.file_path and ((a.cwe_id is not None and a.cwe_id == b.cwe_id) or (a.severity == b.severity and bool(set(a.sources) & set(b.sources))))
+    pairs = sorted((a.ord, b.ord) for a in f for b in f if alike(a, b))
+    whole = queries.QUERIES["j3_cross_file_pairs_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.ord, r.other) for r in whole) == [p for p in pairs if p[0] % 20 == 0]
+    counts = {r.ord: r.n for r in queries.QUERIES["j3_cross_file_counts_whole"](spark, str(tmp_path)).collect()}
+    assert counts == dict(Counter(a for a, _ in pairs)) and len(counts) > 200
+
+
 def test_chains(spark):
     f = rows(spark, {"cwe_id": "CWE-78"}, {"cwe_id": "CWE-89"}, {"cwe_id": "CWE-89"}, {"cwe_id": "CWE-287"}, {"cwe_id": "CWE-269", "file_path": "e/b.py"}, {"cwe_id": "CWE-98"}, {"cwe_id": "CWE-22"})
     got = sorted((r.dir, r.chain_type, r.primary, r.partner) for r in findings.chains(f).collect())

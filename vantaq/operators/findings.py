@@ -49,17 +49,19 @@ def merge_groups(groups: DataFrame) -> DataFrame:
     return groups.groupBy("root_id").agg(F.sum("n").alias("n"), F.min("title").alias("title"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("finding_ids")))).alias("finding_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations")))).alias("locations"))
 
 
-def cross_file_pairs(findings: DataFrame) -> DataFrame:
-    """(ord, other): findings in other files with the same weakness, or the same severity and a common source.
-    The disjunction is two equi joins, so it never becomes a nested loop."""
-    a = findings.select("ord", "file_path", "cwe_id", "severity", "sources")
-    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
+def cross_file_pairs(findings: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(ord, other): findings in other files with the same weakness, or the same severity and a common source. ``asked``: the findings
+    whose partners are wanted, among all; all of them by default. The disjunction is two equi joins without pairs in common, so it
+    never becomes a nested loop, and pairs need not be made distinct. Sources are unique in a row."""
+    columns = ["ord", "file_path", "cwe_id", "severity", "sources"]
+    a = (findings if asked is None else asked).select(*columns)
+    b = findings.select(*[F.col(c).alias(f"b_{c}") for c in columns])
     differs = F.col("file_path") != F.col("b_file_path")
     by_cwe = a.join(b, (F.col("cwe_id") == F.col("b_cwe_id")) & differs).select("ord", F.col("b_ord").alias("other"))
-    ax = a.select("ord", "file_path", "severity", F.explode("sources").alias("source"))
-    bx = ax.select(*[F.col(c).alias(f"b_{c}") for c in ax.columns])
-    by_source = ax.join(bx, (F.col("severity") == F.col("b_severity")) & (F.col("source") == F.col("b_source")) & differs).select("ord", F.col("b_ord").alias("other"))
-    return by_cwe.union(by_source).distinct()
+    ax, bx = a.withColumn("source", F.explode("sources")), b.withColumn("b_source", F.explode("b_sources"))
+    new = ~F.coalesce(F.col("cwe_id") == F.col("b_cwe_id"), F.lit(False)) & (F.col("source") == F.array_intersect("sources", "b_sources")[0])
+    by_source = ax.join(bx, (F.col("severity") == F.col("b_severity")) & (F.col("source") == F.col("b_source")) & differs & new).select("ord", F.col("b_ord").alias("other"))
+    return by_cwe.union(by_source)
 
 
 def cross_file_counts(findings: DataFrame) -> DataFrame:

@@ -315,6 +315,17 @@ def j3n(spark, sf):
     return findings.cross_file_counts(view(spark, sf, "findings_small")).filter("n > 0")
 
 
+@query("j3_cross_file_pairs_whole")
+def j3_whole(spark, sf):
+    f = view(spark, sf, "findings")
+    return findings.cross_file_pairs(f, f.filter("ord % 20 = 0"))
+
+
+@query("j3_cross_file_counts_whole")
+def j3n_whole(spark, sf):
+    return findings.cross_file_counts(view(spark, sf, "findings")).filter("n > 0")
+
+
 @query("j4_attack_chains", f"{FIND}, p(kind, x, y) AS (VALUES {', '.join(f'({k!r},{a!r},{b!r}),({k!r},{b!r},{a!r})' for k, v in findings.CHAINS.items() for a, b in v)}), f AS (SELECT ord, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, substr(cwe_id, 5) AS c FROM findings), j AS (SELECT a.dir, p.kind, a.ord AS primary_, b.ord AS partner FROM f a JOIN p ON a.c = p.x JOIN f b ON b.dir = a.dir AND b.c = p.y AND b.ord > a.ord), r AS (SELECT *, row_number() OVER (PARTITION BY dir, kind ORDER BY primary_, partner) AS rn FROM j) SELECT dir, kind AS chain_type, primary_ AS \"primary\", partner FROM r WHERE rn = 1")
 def j4(spark, sf):
     return findings.chains(view(spark, sf, "findings"))
