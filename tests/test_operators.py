@@ -158,3 +158,9 @@ def test_entry_without_the_llm_subpackage(monkeypatch):
 @pytest.mark.parametrize("name", ["a25_oracle_scores", "w1_structural_dedup", "m2_refined_confidence", "m7_bm25_top10", "j25_call_graph_paths", "w12_chunks", "k1_json_rows"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+def test_no_chunk_of_a_long_text_is_dropped(spark):
+    files = spark.createDataFrame([("a", "12345\n" * 60)], "path string, text string")
+    got = sorted((r.chunk, r.start_line, r.end_line, r.n_bytes, r.past_most) for r in planning.chunks(files, limit=13).collect())
+    assert got == [(k, 2 * k + 1, 2 * k + 2, 12, k >= 24) for k in range(30)]
+
+

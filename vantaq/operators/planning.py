@@ -91,7 +91,8 @@ def neighbours(lines: DataFrame) -> DataFrame:
 
 
 def chunks(files: DataFrame, limit: int = CHUNK_BYTES, most: int = MAX_CHUNKS) -> DataFrame:
-    """path, text -> path, chunk, start_line, end_line, n_bytes: whole lines up to ``limit`` bytes a chunk; a longer line is a chunk of its own."""
+    """path, text -> path, chunk, start_line, end_line, n_bytes, past_most: whole lines up to ``limit`` bytes a chunk; a longer line is a chunk of its own.
+    All chunks are kept; past_most marks those beyond the ``most`` that the reference sends to a model."""
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -107,10 +108,10 @@ def chunks(files: DataFrame, limit: int = CHUNK_BYTES, most: int = MAX_CHUNKS) -
                     held += size
                 if held:
                     out.append((path, k, first, len(rows), held))
-            out = [r for r in out if r[1] < most]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i in range(5)], names=["path", "chunk", "start_line", "end_line", "n_bytes"])
+            made = [pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*made, pa.array([r[1] >= most for r in out], pa.bool_())], names=["path", "chunk", "start_line", "end_line", "n_bytes", "past_most"])
 
-    return files.select("path", "text").mapInArrow(cut, "path string, chunk long, start_line long, end_line long, n_bytes long")
+    return files.select("path", "text").mapInArrow(cut, "path string, chunk long, start_line long, end_line long, n_bytes long, past_most boolean")
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:

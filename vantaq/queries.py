@@ -558,7 +558,7 @@ def w5(spark, sf):
 
 @query("w12_chunks")
 def w12(spark, sf):
-    return planning.chunks(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "text"), limit=2000)
+    return planning.chunks(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), "text"))
 
 
 @query("a16_call_metrics", f"{ctes('calls')} SELECT CASE WHEN model IS NOT NULL THEN 'model:' || model WHEN operation IS NOT NULL THEN operation || ':' || phase ELSE 'all' END AS scope, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS failures, count(*) FILTER (WHERE cached) AS cached, round(avg(latency_ms), 6) AS mean_latency FROM calls GROUP BY GROUPING SETS ((), (model), (operation, phase))")
