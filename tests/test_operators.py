@@ -6,11 +6,12 @@ import importlib
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vantaq import fixtures, queries
-from vantaq.operators import evaluation, findings, history, planning
+from vantaq.operators import evaluation, findings, history, planning, retrieval
 from vantaq.sources import readers
 
 FIELDS = "ord long, id string, title string, file_path string, line_number int, cwe_id string, severity string, confidence_score double, sources array<string>, verification_status string, code_snippet string"
@@ -53,6 +54,46 @@ def test_whole_cross_file_queries_against_brute_force(spark, tmp_path):
     assert counts == dict(Counter(a for a, _ in pairs)) and len(counts) > 200
 
 
+def test_whole_vector_searches_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "PART", 30)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(140, 6)).astype(np.float32)
+    e[7], e[50:60] = 0, e[40]
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    words = [[f"w{x}" for x in rng.integers(0, 40, 12)] for _ in range(140)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    v = e.astype(float)
+    norm = np.sqrt((v * v).sum(axis=1))
+    df = Counter(t for w in words for t in set(w))
+
+    def top(scores, k, least=None):
+        return [d for d in sorted(range(140), key=lambda d: (-round(float(scores[d]), 9), d)) if least is None or scores[d] > least][:k]
+
+    def cosine(q):
+        both = norm * norm[q]
+        return np.where(both > 0, v @ v[q] / np.where(both > 0, both, 1), 0.0)
+
+    def bm25(q):
+        asked = Counter(words[q])
+        return [sum(n * (140 - df[t] + 0.5) / (df[t] + 0.5) * w.count(t) * 2.2 / (w.count(t) + 1.2) for t, n in asked.items()) for w in words]
+
+    got: dict[int, list[int]] = {}
+    for r in queries.QUERIES["o2_cosine_top10_whole"](spark, str(tmp_path)).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.doc)
+    assert got == {q: top(cosine(q), 10) for q in range(0, 140, 20)}
+    fused: dict[int, dict[int, float]] = {}
+    for r in queries.QUERIES["w7_rank_fusion_whole"](spark, str(tmp_path)).collect():
+        fused.setdefault(r.query, {})[r.doc] = r.score
+    for q in range(0, 140, 20):
+        score = Counter()
+        for listed in (top(cosine(q), 20), top(bm25(q), 20, 0)):
+            for rank, d in enumerate(listed, 1):
+                score[d] += 1 / (60 + rank)
+        assert fused[q] == {d: round(s, 6) for d, s in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]}
+
+
 def test_chains(spark):
     f = rows(spark, {"cwe_id": "CWE-78"}, {"cwe_id": "CWE-89"}, {"cwe_id": "CWE-89"}, {"cwe_id": "CWE-287"}, {"cwe_id": "CWE-269", "file_path": "e/b.py"}, {"cwe_id": "CWE-98"}, {"cwe_id": "CWE-22"})
     got = sorted((r.dir, r.chain_type, r.primary, r.partner) for r in findings.chains(f).collect())
@@ -118,6 +159,12 @@ def test_chunks(spark):
     assert got == [("a", 0, 1, 2, 12), ("a", 1, 3, 4, 12), ("a", 2, 5, 5, 6), ("c", 0, 1, 1, 51), ("c", 1, 2, 2, 2)]
 
 
+def test_no_chunk_of_a_long_text_is_dropped(spark):
+    files = spark.createDataFrame([("a", "12345\n" * 60)], "path string, text string")
+    got = sorted((r.chunk, r.start_line, r.end_line, r.n_bytes, r.past_most) for r in planning.chunks(files, limit=13).collect())
+    assert got == [(k, 2 * k + 1, 2 * k + 2, 12, k >= 24) for k in range(30)]
+
+
 def test_baselines_merge(spark):
     f = rows(spark, *[{"confidence_score": x / 10} for x in range(10)])
     both = planning.merged_baselines(planning.baseline(f.filter("ord < 3")).unionByName(planning.baseline(f.filter("ord >= 3")))).first()
@@ -158,9 +205,3 @@ def test_entry_without_the_llm_subpackage(monkeypatch):
 @pytest.mark.parametrize("name", ["a25_oracle_scores", "w1_structural_dedup", "m2_refined_confidence", "m7_bm25_top10", "j25_call_graph_paths", "w12_chunks", "k1_json_rows"])
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
-def test_no_chunk_of_a_long_text_is_dropped(spark):
-    files = spark.createDataFrame([("a", "12345\n" * 60)], "path string, text string")
-    got = sorted((r.chunk, r.start_line, r.end_line, r.n_bytes, r.past_most) for r in planning.chunks(files, limit=13).collect())
-    assert got == [(k, 2 * k + 1, 2 * k + 2, 12, k >= 24) for k in range(30)]
-
-

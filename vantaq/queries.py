@@ -440,6 +440,25 @@ def w7(spark, sf):
     return retrieval.fused([near, retrieval.ranked(other, 20)], 10).select("query", "doc", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def nearest_whole(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc"), "embedding")
+    return retrieval.nearest_in_blocks(v, v.filter("doc % 20 = 0").select(F.col("doc").alias("query"), "embedding"), k)
+
+
+@query("o2_cosine_top10_whole")
+def o2_whole(spark, sf):
+    return nearest_whole(spark, sf, 10).select("query", "doc", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("w7_rank_fusion_whole")
+def w7_whole(spark, sf):
+    """Cosine of the vectors and BM25 of the documents with the same ids."""
+    ids_ = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc"))
+    docs = _bm_inputs(spark, sf)[0].join(ids_, "doc", "left_semi")
+    scored = retrieval.bm25(docs, docs.filter("doc % 20 = 0").select(F.col("doc").alias("query"), "text"), text.words(F.col("text")), text.words(F.col("text")))
+    return retrieval.fused([nearest_whole(spark, sf, 20), retrieval.ranked(scored, 20)], 10).select("query", "doc", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("f12_keywords", None)
 def f12(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", text.keywords(F.col("text")).alias("keywords"))
