@@ -21,17 +21,22 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table. ``spread``: a table of fewer splits than there are cores (a file of one row group) is dealt to all of them."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share: ``spark.checkpoint.dir``. A temporary folder only where that
-    is unset (local mode)."""
+    is unset, in local mode; on a cluster it must be set."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="vantaq-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)

@@ -13,53 +13,53 @@ from .base import table
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     fitted = langid.fit(docs, ~held_out)
     return langid.predict(docs.select("doc_id", "text"), fitted).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.round_trip(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffixdedup.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = suffixdedup.cut(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return urlfilter.judged(table(spark, sf_dir, "pages", spread=True).select("page_id", "url"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    rows = table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digests(chat.conversations(rows))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokencount.token_counts(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
