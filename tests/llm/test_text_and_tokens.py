@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -11,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 import tokenizers
 
 from vantaq.llm import bpe, packing, tokencount
@@ -97,6 +100,38 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(t for _, t in plan) <= -(-int(lengths.sum()) // 64) * 1.02 + 1
 
 
+def test_ids_are_the_library_s_for_every_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    encoder = packing.Encoder(path)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for before, after in (("a", "a"), ("! ", "!"), ("1'", "s")):
+        column = pa.array([before + c + after for c in every if encoder.simple[ord(c)]], pa.string())
+        want = library.encode_batch(column.to_pylist(), add_special_tokens=False)
+        assert [x.tolist() for x in encoder.texts(column)] == [[*w.ids, 0] for w in want]
+    assert not encoder.simple[[0x1C89, 0x1C8A, 0xA7CB, 0xA7CC, 0xA7CD, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA, 0xA7DB, 0xA7DC, 0x301, 0x130]].any() and encoder.simple.sum() > 55_000
+    column = pa.array([f"x{c} y" for c in "\ua7cb\u1c89\ua7dc"])
+    assert [x.tolist() for x in encoder.texts(column)] == [[*library.encode(x.as_py(), add_special_tokens=False).ids, 0] for x in column]
+
+
+@given(st.lists(st.integers(0, 3), min_size=13, max_size=13), st.lists(st.tuples(st.integers(0, 12), st.lists(st.integers(1, 12), max_size=2), st.booleans()), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_sums_are_what_search_finds(counts, asked):
+    sums = packing.Sums(np.array([0, *counts[1:]]))
+
+    def first(total: int, k: int, taken: list[int]) -> tuple[int, ...] | None:
+        heads = sorted(itertools.product(range(12, 0, -1), repeat=k), reverse=True)
+        ordered = lambda x: list(x[-2:]) == sorted(x[-2:], reverse=True)
+        return next((x for x in heads if sum(x) == total and ordered(x) and sums.has(*x, *taken)), None)
+
+    for total, taken, use in asked:
+        two, three = sums.pair(total, *taken), sums.triple(total, *taken)
+        assert two == first(total, 2, taken) and three == first(total, 3, taken)
+        if use:
+            for n in three or two or ():
+                sums.count[n] -= 1
+
+
 def test_plan_of_nothing():
     assert packing.plan({}, 8) == [] and packing.plan({8: 3}, 8) == [((8,), 3)]
 

@@ -4,12 +4,13 @@ Documents become token ids; those longer than a sequence are cut. Only the numbe
 length (at most as many numbers as a sequence has tokens) reaches the driver, which plans patterns of
 lengths and how often each is used: for each length, longest first, the gap it leaves is looked up
 among the available single lengths, sums of pairs and sums of triples, and whatever fills it exactly is
-consumed as often as the availability counts allow; what is left goes best-fit, longest first. Pieces
+consumed as often as the availability counts allow (an index of sums finds them, ``Sums``); what is left goes best-fit, longest first. Pieces
 of one length are interchangeable, so a piece's rank among those of its length decides its place.
 Ranks come from a prefix sum over (partition, length) counts; no group is gathered.
 
-Cases: a null or empty text is one piece of one token (the separator); ties between pieces of equal length go by partition
-and position; an empty table gives no rows.
+Cases: a null or empty text is one piece of one token (the separator); very long texts are cut to pieces, whole; ties between
+pieces of equal length go by partition and position; repeated rows, and rows without doc_id, are packed each; other columns,
+whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,20 +36,40 @@ KNOWN_WORDS = 400_000
 SEPARATOR = 0
 
 
-@lru_cache(maxsize=1)
-def _simple() -> np.ndarray:
-    """Whether a code point is its own composed form, never joins a neighbour, and has a one-character lower case."""
+def agreed(library) -> np.ndarray:
+    """Whether a code point is its own composed form, never joins a neighbour, and has the lower case and the class that the
+    library gives it. The library's tables of characters may be of another edition than Python's, so it is asked."""
     out = np.zeros(0x110000, bool)
+    kind, low = ts.char_classes(), ts.lower_table()
+    some = []
     for c in range(0x10000):
         if not 0xD800 <= c < 0xE000 and not 0x1100 <= c < 0x1200:
             x = chr(c)
-            out[c] = unicodedata.combining(x) == 0 and unicodedata.category(x)[0] != "M" and len(x.lower()) == 1 and unicodedata.normalize("NFC", x) == x
+            if unicodedata.combining(x) == 0 and unicodedata.category(x)[0] != "M" and len(x.lower()) == 1 and unicodedata.normalize("NFC", x) == x:
+                some.append(c)
+    lower = library.normalizer.normalize_str
+    out[[c for c in some if kind[c] == ts.SPACE and lower(chr(c)) == " "]] = True
+    some = [c for c in some if kind[c] != ts.SPACE]
+    # Many at once, a line each; one by one where the lines don't come back
+    for i in range(0, len(some), 512):
+        part = some[i : i + 512]
+        got = lower("\n".join(map(chr, part))).split(" ")
+        if len(got) != len(part):
+            got = [lower(chr(c)) for c in part]
+        out[[c for c, x in zip(part, got) if x == chr(low[c])]] = True
+    some = [c for c in some if out[c]]
+    for around, alone in (("a", ts.LETTER), ("!", ts.OTHER)):
+        # Between two of its class a character makes one piece with them, else three pieces.
+        found = library.pre_tokenizer.pre_tokenize_str("\n".join(around + chr(low[c]) + around for c in some))
+        pieces = np.bincount(np.array([at[0] for _, at in found], np.int64) // 4, minlength=len(some))
+        out[np.array(some)[pieces != np.where(kind[low[some]] == alone, 1, 3)]] = False
     return out
 
 
 class Encoder:
     """Token ids of whole texts for a lower-casing word vocabulary; equal to the tokenizers library's, without special
-    tokens at the ends. Texts that need composition, a longer lower case or hold special tokens go through the library."""
+    tokens at the ends. Texts that need composition or a longer lower case, or hold special tokens or characters on which
+    Python's tables and the library's differ, go through the library."""
 
     def __init__(self, path: str) -> None:
         import tokenizers
@@ -56,6 +77,7 @@ class Encoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
         self.machine, self.splitter = bpe.Automaton(path), bpe.Splitter(spaced=False)
+        self.simple = agreed(self.library)
         self._forget()
 
     def _forget(self) -> None:
@@ -87,7 +109,7 @@ class Encoder:
             slow = odd[block.first : block.first + block.n].copy()
             cp, _, off = block.chars()
             if len(cp):
-                hard = np.flatnonzero(~_simple()[cp])
+                hard = np.flatnonzero(~self.simple[cp])
                 slow[np.searchsorted(off, hard, "right") - 1] = True
             ids, first = self._block(block)
             for i in range(block.n):
@@ -175,44 +197,80 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
+class Sums:
+    """The available sums of one, two and three lengths. For each sum a pointer tells the longest member of the first pair (or
+    triple) with that sum that may still be available. Availability only falls, so pointers only move on, and all lookups
+    together take as many steps as there are (sum, length) pairs."""
+
+    def __init__(self, count: np.ndarray) -> None:
+        self.count = count.tolist()
+        self.lengths = [n for n in range(len(self.count) - 1, 0, -1) if self.count[n]]
+        self.two = [0] * len(self.count)
+        self.three = [0] * len(self.count)
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.count[n] >= lengths.count(n) for n in set(lengths))
+
+    def pair(self, total: int, *taken: int) -> tuple[int, int] | None:
+        """The available a >= b with a + b = total besides the taken lengths, with the longest a."""
+        at, moving = self.two[total], True
+        while at < len(self.lengths):
+            a = self.lengths[at]
+            b = total - a
+            if b > a:
+                break
+            if b > 0 and self.has(a, b):
+                moving = False
+                if self.has(a, b, *taken):
+                    return a, b
+            at += 1
+            if moving:
+                self.two[total] = at
+        return None
+
+    def triple(self, total: int, *taken: int) -> tuple[int, int, int] | None:
+        """Likewise a with a pair that makes up the rest."""
+        at, moving = self.three[total], True
+        while at < len(self.lengths):
+            a = self.lengths[at]
+            if total - a >= 2 and self.count[a]:
+                if rest := self.pair(total - a, a):
+                    moving = False
+                    if self.has(a, *rest, *taken):
+                        return a, *rest
+                    if rest := self.pair(total - a, a, *taken):
+                        return a, *rest
+            at += 1
+            if moving:
+                self.three[total] = at
+        return None
+
+
 def plan(available: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths, and how many sequences follow each."""
     c = np.zeros(capacity + 1, np.int64)
     for k, v in available.items():
         c[k] = v
+    sums = Sums(c)
     out: list[tuple[tuple[int, ...], int]] = []
 
     def use(*lengths: int) -> None:
-        need = np.bincount(lengths)
-        times = min(int(c[x] // need[x]) for x in set(lengths))
-        c[np.flatnonzero(need)] -= times * need[need > 0]
+        times = min(sums.count[x] // lengths.count(x) for x in set(lengths))
+        for x in lengths:
+            sums.count[x] -= times
         out.append((lengths, times))
 
-    def pair(gap: int, more: tuple[int, ...]) -> tuple[int, int] | None:
-        """Available a >= b with a + b = gap besides the lengths that are taken already."""
-        a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        for x in a[(c[a] > 0) & (c[gap - a] > 0)].tolist():
-            y = gap - x
-            if all(c[z] >= (*more, x, y).count(z) for z in {x, y, *more}):
-                return x, y
-        return None
-
     for n in range(capacity, 0, -1):
         gap = capacity - n
-        if c[n] and not gap:
+        if sums.count[n] and not gap:
             use(n)
-        if c[n] and 0 < gap and c[gap] >= 1 + (gap == n):
+        if gap and sums.has(n, gap):
             use(n, gap)
-        while c[n] and gap >= 2 and (two := pair(gap, (n,))):
+        while sums.count[n] and gap >= 2 and (two := sums.pair(gap, n)):
             use(n, *two)
-        first = gap - 2
-        while c[n] and first >= 1:
-            if c[first] >= 1 + (first == n) and (two := pair(gap - first, (n, first))):
-                use(n, first, *two)
-            else:
-                first -= 1
-                while first >= 1 and not c[first]:
-                    first -= 1
+        while sums.count[n] and gap >= 3 and (three := sums.triple(gap, n)):
+            use(n, *three)
+    c = sums.count
     # Best fit: sequences of one pattern are handled together, by the gap that they leave.
     open_: dict[int, list[list]] = {}
 
