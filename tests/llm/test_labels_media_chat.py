@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import itertools
 import math
 import random
 import unicodedata
@@ -38,6 +39,53 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_every_word_of_the_sample_is_learned(spark):
+    rows = [(i, f"{lang}w{chr(97 + i % 26)}{chr(97 + i // 26)} once", lang) for i, lang in enumerate(["aa"] * 600 + ["bb"] * 6)] + [(None, "unseen", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, F.lit(True))
+    assert m.langs == ["aa", "bb"] and len(m.word_keys) == 607
+    small = langid.fit(df, F.lit(True), sample=12)  # in equal parts: the rare language keeps all its rows
+    assert 6 < len(small.word_keys) < 40 and langid.predict(df, small).filter("lang = 'bb' AND lang_pred != 'bb'").count() == 0
+    assert langid.predict(df.limit(0), langid.fit(df.limit(0), F.lit(True))).count() == 0
+
+
+def test_scores_are_what_the_definition_says():
+    rnd = random.Random(1)
+    vocab = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    pairs = sorted({(rnd.choice("xy"), rnd.choice(vocab)): rnd.randint(1, 9) for _ in range(50)}.items())
+    m = langid.model([p[0][0] for p in pairs], [p[0][1] for p in pairs], [p[1] for p in pairs])
+    words, grams = Counter(), Counter()
+    for (lang, w), n in pairs:
+        words[w, lang] += n
+        marked = f"<{w}>"
+        for i, k in itertools.product(range(len(marked)), range(1, langid.LONGEST + 1)):
+            if i + k <= len(marked):
+                grams[marked[i : i + k], lang] += n**0.5
+
+    def logs(table: Counter) -> dict[str, list[float]]:
+        keys = {k for k, _ in table}
+        total = {x: sum(v for (_, y), v in table.items() if y == x) for x in "xy"}
+        return {k: [math.log((table[k, x] + 0.1) / (total[x] + 0.1 * len(keys))) for x in "xy"] for k in keys}
+
+    by_word, by_gram = logs(words), logs(grams)
+
+    def unseen(w: str) -> list[float]:
+        marked, total = f"<{w}>", [0.0, 0.0]
+        for i in range(len(marked)):
+            known = next((by_gram[marked[i : i + k]] for k in range(langid.LONGEST, 0, -1) if i + k <= len(marked) and marked[i : i + k] in by_gram), [math.log(1e-7)] * 2)
+            total = [a + b for a, b in zip(total, known)]
+        return [1.5 * t / len(marked) for t in total]
+
+    texts = [" ".join(rnd.choice([*vocab, "zzz", "abca", "éa"]) for _ in range(rnd.randint(1, 30))) for _ in range(80)]
+    best, score = langid.Scorer(m).texts(pa.array(texts))
+    for text, b, s in zip(texts, best, score):
+        each = [by_word.get(w) or unseen(w) for w in text.split()]
+        total = [sum(e[k] for e in each) for k in (0, 1)]
+        top = int(total[1] > total[0])
+        assert b == top or abs(total[0] - total[1]) < 1e-3
+        assert abs(s - 1 / sum(math.exp((t - max(total)) / len(each) * min(len(each), 12)) for t in total)) < 1e-3
+
+
 def test_backoff_takes_the_longest_known_gram():
     m = langid.model(["a", "b"], ["xyz", "xyw"], [5, 5])
     scorer = langid.Scorer(m)

@@ -5,12 +5,14 @@ not hold is scored by character n-grams: at each of its positions by the longest
 starts there, from ``LONGEST`` characters (with marks for the word's ends) down to one. A text's score
 is the sum over its words.
 
-The model is fitted on a bounded sample of labelled rows: at most about ``sample`` documents, drawn by
-a hash of doc_id, whole texts each. Of them the ``words`` most frequent (word, language) pairs are kept, which bounds what is
+The model is fitted on a bounded sample of labelled rows: about ``sample`` documents and about ``text_bytes`` of text, in equal
+parts of each language, drawn by a hash of doc_id, whole texts each. All their words and n-grams are kept; the sample bounds what is
 broadcast. Everything else covers all rows and whole texts.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; ties between languages go to the
-first in alphabetical order; with no labelled rows everything is ``und``; repeated rows are judged alike.
+first in alphabetical order; with no labelled rows everything is ``und``; rows without doc_id are judged but not
+learned from; repeated rows are judged alike; very long texts are judged whole, one at a time; an empty table gives no rows; other
+columns stay as they are, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -109,58 +111,66 @@ def marked(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return codes, off
 
 
-def fit(docs: DataFrame, train: Column, sample: int = 8000, words: int = 50_000) -> Model:
-    """docs: text and lang, and the columns that ``train`` needs."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    share = int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    rows = rows.filter(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < share) if n > sample else rows
-    counts = (
-        rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+def fit(docs: DataFrame, train: Column, sample: int = 2000, text_bytes: int = 32 << 20) -> Model:
+    """docs: text and lang, and the columns that ``train`` needs, doc_id among them."""
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # a row for each language
+    if not sizes:
+        return model([], [], [])
+    shares = {r["lang"]: min(1.0, sample / len(sizes) / r["n"], text_bytes / len(sizes) / max(1, r["size"])) for r in sizes}
+    drawn = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int(share * (1 << 30)))])
+    words = (
+        rows.filter(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < drawn[F.col("lang")])
+        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-        .orderBy(F.desc("n"), "lang", "word")
-        .limit(words)
-        .toPandas()
+        .toArrow()  # as many rows as the sample has words
+        .sort_by([("lang", "ascending"), ("word", "ascending")])
     )
-    return model(counts["lang"].tolist(), counts["word"].tolist(), counts["n"].tolist())
+    return model(*(words[c].to_pylist() for c in ("lang", "word", "n")))
 
 
 def model(langs: list[str], words: list[str], counts: list[int]) -> Model:
+    """Each (language, word) pair with the number of its uses."""
     names = sorted(set(langs))
     k = len(names)
     if not words:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros((0, 0)))
-    lang = np.array([names.index(x) for x in langs])
+    number = {x: i for i, x in enumerate(names)}
+    lang = np.array([number[x] for x in langs])
     n = np.array(counts, np.float64)
-    text = pa.array(words, pa.string())
-    hashes, grams, gram_lang, gram_n = [], [], [], []
-    for b in ts.blocks(text):
+    hashes, keys, tables = [], [], []
+    cut = []
+    for b in ts.blocks(pa.array(words, pa.string())):
         cp, _, off = b.chars()
         hashes.append(ts.Rolling(ts.codes_of(cp)).of(off[:-1], off[1:]))
-        codes, moff = marked(cp, off[:-1], off[1:])
-        r, size = ts.Rolling(codes), np.diff(moff)
-        left = np.repeat(moff[1:], size) - np.arange(len(codes))
-        owner = np.repeat(np.arange(b.first, b.first + b.n), size)
-        for width in range(1, LONGEST + 1):
-            at = np.flatnonzero(left >= width)
-            grams.append(r.of(at, at + width))
-            gram_lang.append(lang[owner[at]])
-            gram_n.append(n[owner[at]] ** 0.5)  # between counting words and counting their uses
-    h = np.concatenate(hashes)
-    word_keys, word_scores = _scores(h, lang, n, k)
-    gram_keys, gram_scores = _scores(np.concatenate(grams), np.concatenate(gram_lang), np.concatenate(gram_n), k)
-    return Model(names, word_keys, word_scores, gram_keys, gram_scores)
-
-
-def _scores(h: np.ndarray, lang: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and their smoothed log frequency in each language."""
-    keys = np.unique(h)
-    at = np.searchsorted(keys, h)
-    table = np.bincount(at * k + lang, weights=n, minlength=len(keys) * k).reshape(-1, k)
-    total = table.sum(axis=0)
-    return keys, np.log((table + 0.1) / (total + 0.1 * len(keys)))
+        cut.append((b, *marked(cp, off[:-1], off[1:])))
+    for width in range(1, LONGEST + 1):  # a width at a time, to hold less
+        grams, gram_lang, gram_n = [], [], []
+        for b, codes, off in cut:
+            size = np.diff(off)
+            at = np.flatnonzero(np.repeat(off[1:], size) - np.arange(len(codes)) >= width)
+            owner = b.first + np.repeat(np.arange(b.n), size)[at]
+            grams.append(ts.Rolling(codes).of(at, at + width))
+            gram_lang.append(lang[owner])
+            gram_n.append(n[owner] ** 0.5)  # between counting words and counting their uses
+        h, table = _counted(np.concatenate(grams), np.concatenate(gram_lang), np.concatenate(gram_n), k)
+        keys.append(h)
+        tables.append(table)
+    gram_keys, one = np.unique(np.concatenate(keys), return_index=True)
+    word_keys, table = _counted(np.concatenate(hashes), lang, n, k)
+    return Model(names, word_keys, _scores(table), gram_keys, _scores(np.concatenate(tables)[one]))
+
+
+def _counted(h: np.ndarray, lang: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts in each language."""
+    keys, at = np.unique(h, return_inverse=True)
+    return keys, np.bincount(at * k + lang, weights=n, minlength=len(keys) * k).reshape(-1, k)
+
+
+def _scores(table: np.ndarray) -> np.ndarray:
+    """Smoothed log frequencies in each language."""
+    return np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(table))).astype(np.float32)
 
 
 def predict(docs: DataFrame, fitted: Model) -> DataFrame:
