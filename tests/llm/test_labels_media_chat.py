@@ -335,7 +335,47 @@ def test_parts_are_flattened_in_order():
     assert [(a.kind, a.uri, a.position, a.tokens) for a in out.attachments] == [("image", "s3://i", 0, 5), ("audio", "a.wav", 1, 25), ("document", "d.pdf", 2, 1536), ("image", "out.png", 3, 2)]
     assert all(out.text[a.char :].startswith(f"<|{a.kind}|>") for a in out.attachments)
     assert [out.text[s:e] for s, e in out.loss] == ["fine <\\|end|><|image|>"]
-    assert chat.parse(out.text)[0] == ("user", "see <|image|> and <|audio|><|document|>")
+    one, two, three, four = out.attachments
+    assert chat.parse(out.text, out.attachments) == [("user", [chat.Text("see "), one, chat.Text(" and "), two, three]), ("assistant", [chat.Text("fine <|end|>"), four])]
+
+
+PIECE = st.text(alphabet="\\<>/|s[]INSTend i", max_size=12) | st.sampled_from([*chat.CONTROL, "\\", "<", "<|", "turn|>", "|end|>", "[", "INST]"])
+PARTS = st.lists(st.one_of(st.builds(chat.Text, PIECE), st.builds(chat.Image, PIECE, st.integers(0, 99), st.integers(0, 99)), st.builds(chat.Audio, PIECE, st.just(1.5)), st.builds(chat.Document, PIECE, st.integers(0, 3))), max_size=6)
+
+
+@given(st.lists(st.tuples(PIECE, PARTS), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_parts_come_back(turns):
+    f = chat.Flattener()
+    for role, parts in turns:
+        f.turn(role, parts)
+    out = f.done()
+    kinds = {chat.Image: "image", chat.Audio: "audio", chat.Document: "document"}
+    plain = lambda p: p.text if isinstance(p, chat.Text) else (p.kind if isinstance(p, chat.Attachment) else kinds[type(p)], p.uri)
+    got = chat.parse(out.text, out.attachments)
+    assert [(r, [plain(p) for p in parts]) for r, parts in got] == [(r, [plain(p) for p in parts if not isinstance(p, chat.Text) or p.text]) for r, parts in turns]
+    # No control string but the template's own, in their places
+    own = len(turns) * 3 + len(out.attachments) + sum(max(0, sum(1 for a, b in zip(k, k[1:]) if a == b == chat.Text)) for k in ([type(p) for p in parts if not isinstance(p, chat.Text) or p.text] for _, parts in turns))
+    assert sum(out.text.count(c) for c in chat.CONTROL) == own
+
+
+def test_typed_content_column(spark):
+    text = lambda t: {"kind": "text", "text": t}
+    rows = [
+        (1, 0, "user", "unused", [text("<|"), text("turn|>"), {"kind": "image", "uri": "i.png", "width": 56, "height": 28}, text("<|image|>")]),
+        (1, 1, "assistant", None, [{"kind": "audio", "uri": "a.wav", "seconds": 2.0}, text("done"), {"kind": "document", "uri": None, "pages": 2}, {"kind": "video", "text": "odd"}, None]),
+        (1, 2, "user", "plain", None),
+        (2, 0, "user", "no parts", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, content {chat.CONTENT}").withColumn("formatted", F.lit("x"))
+    got = {r.conv_id: r for r in chat.conversations(df).collect()}
+    assert got[1].formatted == "<|turn|>user<|body|><|<|part|>turn|><|image|><\\|image|><|end|><|turn|>assistant<|body|><|audio|>done<|document|>odd<|end|><|turn|>user<|body|>plain<|end|>"
+    assert [(a.kind, a.uri, a.position, a.tokens) for a in got[1].attachments] == [("image", "i.png", 0, 3), ("audio", "a.wav", 1, 25), ("document", "", 2, 1024)] and got[1].attachment_tokens == 1052
+    assert all(got[1].formatted[a.char :].startswith(f"<|{a.kind}|>") for a in got[1].attachments) and got[2].formatted.endswith("<|body|><|end|>") and got[2].attachments == []
+    d = {r.conv_id: r for r in chat.digests(chat.conversations(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert d[1].turns_sha256 == sha("user\n<|turn|><|image|>\nassistant\ndoneodd\nuser\nplain\n") and d[1].loss_sha256 == sha("doneodd")
+    assert chat.digests(chat.conversations(df.limit(0))).count() == 0
 
 
 def test_conversations(spark):

@@ -2,16 +2,18 @@
 
 A turn's content is a list of parts: text, image, audio or document. A visitor flattens them in order: text is escaped,
 every other part becomes a placeholder; the attachment's reference, its place among the conversation's
-attachments and the tokens that it expands to are recorded. Turns stand between marks. Inside texts and roles control strings
-(the template's and those of common formats) are broken by a backslash after their first character,
-and backslashes are doubled, so texts come back exactly. The loss mask holds the character spans of
-assistant content.
+attachments and the tokens that it expands to are recorded. Turns stand between marks, and so do neighbouring texts of a turn. Inside
+texts and roles control strings (the template's and those of common formats) are broken by a backslash after their first character,
+and backslashes are doubled, so marks and placeholders that stand in the formatted text are the template's own, and parts come
+back exactly. The loss mask holds the character spans of assistant content.
 
 Conversations stream through tasks sorted by conversation and turn, so a task holds one conversation at a time; a conversation is
 one output string and stays together.
 
-Cases: null text is empty, a null role is an empty role; rows of equal turn go by role, then text; a null conv_id is a
-conversation of its own.
+Cases: null text is empty, and empty text parts leave no trace; a null role is an empty role; a turn with null or absent content has
+its text as one part; a part of an unknown kind is its text; null sizes of attachments count as 0, a null reference is empty; rows
+of equal turn go by role, text, then content, and rows that repeat are turns each; a null conv_id is a conversation of its own; very
+long texts are kept whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 
 from .base import partitions
 
-TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+TURN, BODY, PART, END = "<|turn|>", "<|body|>", "<|part|>", "<|end|>"
 IMAGE, AUDIO, DOCUMENT = "<|image|>", "<|audio|>", "<|document|>"
-CONTROL = (TURN, BODY, END, IMAGE, AUDIO, DOCUMENT, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|eot_id|>")
+CONTROL = (TURN, BODY, PART, END, IMAGE, AUDIO, DOCUMENT, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|eot_id|>")
 ESCAPE = "\\"
 _BREAK = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)) + r"|\\")
+_MARKS = re.compile("(" + "|".join(re.escape(c) for c in (PART, IMAGE, AUDIO, DOCUMENT)) + ")")
+#: The type of a column of parts: kind is text, image, audio or document.
+CONTENT = "array<struct<kind: string, text: string, uri: string, width: int, height: int, seconds: double, pages: int>>"
 _JOIN = re.compile(r"\\(\\?)")
 
 
@@ -51,21 +56,21 @@ class Text:
 
 @dataclass(frozen=True)
 class Image:
-    uri: str
-    width: int
-    height: int
+    uri: str | None
+    width: int | None
+    height: int | None
 
 
 @dataclass(frozen=True)
 class Audio:
-    uri: str
-    seconds: float
+    uri: str | None
+    seconds: float | None
 
 
 @dataclass(frozen=True)
 class Document:
-    uri: str
-    pages: int
+    uri: str | None
+    pages: int | None
 
 
 @dataclass(frozen=True)
@@ -84,6 +89,22 @@ class Formatted:
     attachments: list[Attachment] = field(default_factory=list)
 
 
+Part = Text | Image | Audio | Document
+
+
+def part_of(p: dict | None) -> Part:
+    """A part from a row of a content column."""
+    p = p or {}
+    match p.get("kind"):
+        case "image":
+            return Image(p["uri"], p["width"], p["height"])
+        case "audio":
+            return Audio(p["uri"], p["seconds"])
+        case "document":
+            return Document(p["uri"], p["pages"])
+    return Text(p.get("text"))
+
+
 class Flattener:
     """Visits parts; ``pieces`` is the formatted text so far. Token counts: an image has one for each tile of ``tile`` pixels
     squared and one for the whole, audio ``per_second``, a document ``per_page`` for each page."""
@@ -98,26 +119,32 @@ class Flattener:
         self.pieces.append(text)
         self.size += len(text)
 
-    def attach(self, kind: str, mark: str, uri: str, tokens: int) -> None:
-        self.out.attachments.append(Attachment(kind, uri, len(self.out.attachments), self.size, tokens))
+    def attach(self, kind: str, mark: str, uri: str | None, tokens: int) -> None:
+        self.out.attachments.append(Attachment(kind, uri or "", len(self.out.attachments), self.size, tokens))
         self.put(mark)
+        self.after_text = False
 
-    def visit(self, part: Text | Image | Audio | Document) -> None:
+    def visit(self, part: Part) -> None:
         getattr(self, f"visit_{type(part).__name__.lower()}")(part)
 
     def visit_text(self, part: Text) -> None:
-        self.put(escape(part.text or ""))
+        if part.text:
+            if self.after_text:  # two texts must not make up a control string together
+                self.put(PART)
+            self.put(escape(part.text))
+            self.after_text = True
 
     def visit_image(self, part: Image) -> None:
-        self.attach("image", IMAGE, part.uri, math.ceil(part.width / self.tile) * math.ceil(part.height / self.tile) + 1)
+        self.attach("image", IMAGE, part.uri, math.ceil((part.width or 0) / self.tile) * math.ceil((part.height or 0) / self.tile) + 1)
 
     def visit_audio(self, part: Audio) -> None:
-        self.attach("audio", AUDIO, part.uri, math.ceil(part.seconds * self.per_second))
+        self.attach("audio", AUDIO, part.uri, math.ceil((part.seconds or 0) * self.per_second))
 
     def visit_document(self, part: Document) -> None:
-        self.attach("document", DOCUMENT, part.uri, part.pages * self.per_page)
+        self.attach("document", DOCUMENT, part.uri, (part.pages or 0) * self.per_page)
 
-    def turn(self, role: str | None, parts: list[Text | Image | Audio | Document]) -> None:
+    def turn(self, role: str | None, parts: list[Part]) -> None:
+        self.after_text = False
         self.put(TURN)
         self.put(escape(role or ""))
         self.put(BODY)
@@ -133,38 +160,64 @@ class Flattener:
         return self.out
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """Roles and contents (placeholders stay), read back."""
-    out = []
+def parts_of(body: str, attachments: Iterator[Attachment]) -> list[Text | Attachment]:
+    """The parts of formatted content. Each placeholder takes the next attachment."""
+    out: list[Text | Attachment] = []
+    for k, piece in enumerate(_MARKS.split(body)):
+        if k % 2 and piece != PART:
+            out.append(next(attachments))
+        elif k % 2 == 0 and piece:
+            out.append(Text(unescape(piece)))
+    return out
+
+
+def parse(formatted: str, attachments: list[Attachment] = ()) -> list[tuple[str, list[Text | Attachment]]]:
+    """Roles and parts, read back."""
+    out, rest = [], iter(attachments)
     for turn in formatted.split(END)[:-1]:
         role, _, body = turn.removeprefix(TURN).partition(BODY)
-        out.append((unescape(role), unescape(body)))
+        out.append((unescape(role), parts_of(body, rest)))
     return out
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """rows: conv_id, turn, role, text. conv_id, formatted, and the loss mask's spans (start, end) in it."""
+def _text(parts: list[Text | Attachment]) -> str:
+    return "".join(p.text for p in parts if isinstance(p, Text))
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("uri", pa.string()), ("position", pa.int64()), ("char", pa.int64()), ("tokens", pa.int64())]))
+FORMATTED = "conv_id long, formatted string, loss array<struct<start: long, end: long>>, attachments array<struct<kind: string, uri: string, position: long, char: long, tokens: long>>, attachment_tokens long"
+
+
+def conversations(rows: DataFrame, tile: int = 28, per_second: float = 12.5, per_page: int = 512) -> DataFrame:
+    """rows: conv_id, turn, role, text or content (of type CONTENT) or both. conv_id, formatted, the loss mask's spans (start,
+    end) in it, the attachments (kind, uri, position among them, char of the placeholder, tokens), and the sum of their tokens."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         flat: Flattener | None = None
-        done: list[tuple] = []
+        done: list[tuple[int | None, Formatted]] = []
         held = 0
 
         def emit() -> pa.RecordBatch:
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1].text for d in done], pa.string()), pa.array([[{"start": a, "end": b} for a, b in d[1].loss] for d in done], spans)], names=["conv_id", "formatted", "loss"])
+            columns = [
+                pa.array([c for c, _ in done], pa.int64()),
+                pa.array([f.text for _, f in done], pa.string()),
+                pa.array([[{"start": a, "end": b} for a, b in f.loss] for _, f in done], _SPANS),
+                pa.array([[vars(a) for a in f.attachments] for _, f in done], _ATTACHMENTS),
+                pa.array([sum(a.tokens for a in f.attachments) for _, f in done], pa.int64()),
+            ]
             done.clear()
-            return out
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "loss", "attachments", "attachment_tokens"])
 
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+            for conv, role, text, content in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 if flat is None or conv != now:
                     if flat is not None:
                         done.append((now, flat.done()))
                         held += flat.size
-                    now, flat = conv, Flattener()
-                flat.turn(role, [Text(text)])
+                    now, flat = conv, Flattener(tile, per_second, per_page)
+                flat.turn(role, [Text(text)] if content is None else [part_of(p) for p in content])
                 if held > 4 << 20:
                     yield emit()
                     held = 0
@@ -173,9 +226,11 @@ def conversations(rows: DataFrame) -> DataFrame:
         if done:
             yield emit()
 
-    order = ["conv_id", F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
-    source = rows.select(F.col("conv_id").cast("long"), "turn", F.col("role").cast("string"), F.col("text").cast("string"))
-    return source.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions(*order).mapInArrow(each, "conv_id long, formatted string, loss array<struct<start: long, end: long>>")
+    order = ["conv_id", F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.col("content").asc_nulls_first()]
+    text = F.col("text").cast("string") if "text" in rows.columns else F.lit(None).cast("string")
+    content = F.col("content").cast(CONTENT) if "content" in rows.columns else F.lit(None).cast(CONTENT)
+    source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), text.alias("text"), content.alias("content"))
+    return source.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions(*order).mapInArrow(each, FORMATTED)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -184,15 +239,16 @@ def digests(formatted: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, text, loss in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                turns = parse(text)
-                said = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+            for conv, text, loss, attached in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                known = [Attachment(**a) for a in attached]
+                turns = parse(text, known)
+                said = "".join(_text(parts_of(text[s["start"] : s["end"]], iter(known))) for s in loss)
+                whole = "".join(f"{role}\n{_text(parts)}\n" for role, parts in turns)
                 out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(each, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss", "attachments").mapInArrow(each, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def oracle() -> str:
