@@ -8,6 +8,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vantaq.llm import decontam, jaccard, suffixdedup
 from vantaq.llm import textscan as ts
@@ -67,17 +70,63 @@ def test_least_owner_is_brute_force(seed):
     assert suffixdedup.least_owner(text, start, owner, WIDTH).tolist() == want
 
 
+def by_hand(docs: list[tuple[int, str | None]], hot: np.ndarray) -> dict[int, np.ndarray]:
+    """The removed bytes of documents that are a flush each and meet in one bucket."""
+    codec, flushes, blobs, places = suffixdedup.Codec(b"sample text"), [], [], {}
+    for k, (d, t) in enumerate(docs):
+        block = next(ts.blocks(pa.array([t or ""])))
+        _, at, count, seed = suffixdedup.stretches(block, WIDTH, hot)
+        if len(at):
+            seed = (seed & np.uint64(0x7FFFFFFF)).astype(np.int64)
+            size = count + WIDTH - 1
+            order, fresh = suffixdedup._merged(block.buf, at, size, seed)
+            one = order[fresh]
+            places[k] = [np.diff(np.append(np.flatnonzero(fresh), len(at))), np.full(len(at), d), at[order]]
+            flushes.append(k)
+            blobs.append(codec.pack([np.array([0]), np.diff(seed[one], prepend=0), size[one], np.full(len(one), d), np.zeros(len(one), np.int64)], suffixdedup.gather(block.buf, at[one], size[one])))
+    gone = {k: np.zeros(len((t or "").encode()), bool) for k, (_, t) in enumerate(docs)}
+    for k, blob in suffixdedup.settle(flushes, blobs, WIDTH, codec):
+        for _, i, j in zip(*suffixdedup.removed(places[k], [codec.unpack(blob)[0]], WIDTH)):
+            gone[k][i:j] = True
+    return gone
+
+
 @pytest.mark.parametrize("rows", [64, 1 << 19])
-def test_suffix_dedup(spark, monkeypatch, rows):
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hashes", [True, False])
+def test_settling(monkeypatch, rows, hot, hashes):
+    docs = [(i * 3 % 61, t) for i, t in enumerate(patchwork(7))] + [(200 + i, f"{i * 7919} " + "one common line that stands in every one of these documents, word for word" + f" {i * 104729}") for i in range(40)]
+    seeds = np.unique(np.concatenate([suffixdedup.stretches(b, WIDTH)[3] for b in ts.blocks(pa.array([t for _, t in docs]))]))
     monkeypatch.setattr(suffixdedup, "SORT_ROWS", rows)
+    if not hashes:  # what is equal is told by bytes: all strings of a seed under one hash change nothing
+        monkeypatch.setattr(ts.Rolling, "of", lambda self, start, end: np.ones(len(start), np.uint64))
+    got = by_hand(docs, seeds if hot else seeds[:0])
+    assert all((got[k] == gone).all() for k, gone in enumerate(repeated(docs)))
+
+
+@given(st.lists(st.lists(st.integers(-(2**40), 2**40), max_size=20), max_size=4), st.binary(max_size=50))
+@settings(max_examples=60, deadline=None)
+def test_codec(columns, text):
+    codec = suffixdedup.Codec(b"")
+    back, rest = codec.unpack(codec.pack([np.array(c, np.int64) for c in columns], np.frombuffer(text, np.uint8)))
+    assert [b.tolist() for b in back] == columns and rest.tobytes() == text
+
+
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    monkeypatch.setattr(suffixdedup, "SAMPLED", 1)
     docs = [(i * 3 % 61, t) for i, t in enumerate(patchwork(7))] + [(100, None), (101, ""), (102, "x" * 49), (103, "x" * 20_000), (104, "x" * 50), (None, "y" * 120), (105, "y" * 120), (106, "y" * 120), (106, "y" * 120)]
-    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, n_bytes int")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.cut(df).collect())
+    df = spark.createDataFrame([(d, t, 1, "z") for d, t in docs], "doc_id long, text string, n_bytes int, listed string").withColumn("_spans", F.lit(1)).withColumn("_doc", F.lit(2))
+    if hot == 3:
+        assert len(suffixdedup._hot_seeds(df, WIDTH, hot))
+    out = suffixdedup.cut(df).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.n_spans, bytes(r.kept)) for r in out)
     want = []
     for (d, t), gone in zip(docs, repeated(docs)):
         t = (t or "").encode()
         want.append((d is None, d or 0, int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), bytes(np.frombuffer(t, np.uint8)[~gone])))
-    assert got == sorted(want)
+    assert got == sorted(want) and {(r.listed, r._spans, r._doc) for r in out} == {("z", 1, 2)}
     assert suffixdedup.cut(df.limit(0)).count() == 0
 
 
