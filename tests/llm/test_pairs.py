@@ -79,7 +79,7 @@ def by_hand(docs: list[tuple[int, str | None]], hot: np.ndarray) -> dict[int, np
         if len(at):
             seed = (seed & np.uint64(0x7FFFFFFF)).astype(np.int64)
             size = count + WIDTH - 1
-            order, fresh = suffixdedup._merged(block.buf, at, size, seed)
+            order, fresh = suffixdedup._merged(block.buf, at, size, seed, ts.Rolling(ts._char_codes()[block.buf]).of(at, at + size))
             one = order[fresh]
             places[k] = [np.diff(np.append(np.flatnonzero(fresh), len(at))), np.full(len(at), d), at[order]]
             flushes.append(k)

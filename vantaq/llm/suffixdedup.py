@@ -250,10 +250,22 @@ def gather(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, text.dtype)
 
 
-def _merged(text: np.ndarray, at: np.ndarray, size: np.ndarray, major: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by ``major`` in which strings with equal bytes stand together, and where a new string starts in it. Hashes
-    bring them together, their bytes are compared."""
-    name = ts.Rolling(ts._char_codes()[text]).of(at, at + size)
+def _names(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the strings that stand in the text one after the other, a part of the text at a time."""
+    end = np.cumsum(size)
+    out = np.empty(len(size), U64)
+    i = 0
+    while i < len(size):
+        lo = end[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(end, lo + ts.BLOCK_BYTES, "right")))
+        out[i:j] = ts.Rolling(ts._char_codes()[text[lo : end[j - 1]]]).of(end[i:j] - size[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def _merged(text: np.ndarray, at: np.ndarray, size: np.ndarray, major: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``major`` in which strings with equal bytes stand together, and where a new string starts in it. Their
+    hashes (``name``) bring them together, their bytes are compared."""
     order = np.lexsort((name, major))
     fresh = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
@@ -272,12 +284,12 @@ def _send(width: int, buckets: int, sample: bytes, hot):
     def flush(name: int, held: list, codec: Codec) -> Iterator[tuple[int, int, bytes]]:
         base = np.cumsum([0, *(len(x[0]) for x in held)])
         text = np.concatenate([x[0] for x in held])
-        doc, at, pos, count, seed = (np.concatenate([x[i] + base[j] if i == 2 else x[i] for j, x in enumerate(held)]) for i in (1, 2, 3, 4, 5))
+        doc, at, pos, count, seed, name_of = (np.concatenate([x[i] + base[j] if i == 2 else x[i] for j, x in enumerate(held)]) for i in range(1, 7))
         held.clear()
         size = count + (width - 1)
         bucket = ((ts.mix(seed) >> U64(33)) % U64(buckets)).astype(np.int64)
         seed = (seed & U64(0x7FFFFFFF)).astype(np.int64)
-        order, fresh = _merged(text, at, size, (bucket << 31) | seed)
+        order, fresh = _merged(text, at, size, (bucket << 31) | seed, name_of)
         doc, pos = doc[order], pos[order]
         heads = np.flatnonzero(fresh)
         times = np.diff(np.append(heads, len(order)))
@@ -303,7 +315,8 @@ def _send(width: int, buckets: int, sample: bytes, hot):
             for b in ts.blocks(batch.column(1), ts.BLOCK_BYTES // 2):
                 doc, at, count, seed = stretches(b, width, often)
                 if len(at):
-                    held.append((b.buf, ids[b.first + doc].astype(np.int64), at, at - b.byte_off[doc], count, seed))
+                    name_of = ts.Rolling(ts._char_codes()[b.buf]).of(at, at + count + (width - 1))
+                    held.append((b.buf, ids[b.first + doc].astype(np.int64), at, at - b.byte_off[doc], count, seed, name_of))
                     held_bytes += len(b.buf)
                 if held_bytes >= FLUSH_BYTES:
                     yield out()
@@ -339,7 +352,7 @@ def settle(flushes: list[int], blobs: list[bytes], width: int, codec: Codec | No
     flush, index, seed, size, low, high, at = (x[kept] for x in (flush, index, seed, size, low, high, at))
     text = gather(text, at, size)
     at = np.cumsum(size) - size
-    order, fresh = _merged(text, at, size, seed)
+    order, fresh = _merged(text, at, size, seed, _names(text, size))
     string = np.empty(len(order), np.int64)  # of each row
     string[order] = np.cumsum(fresh) - 1
     heads = np.flatnonzero(fresh)
