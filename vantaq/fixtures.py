@@ -105,6 +105,93 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
             "cached": "turn % 4 = 2",
         },
     ),
+    "functions": (
+        "customer",
+        "c_custkey < 150",
+        {
+            "file_path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
+            "name": "'handle_' || CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'view' END",
+            "first_line": "CAST(c_custkey % 120 + 1 AS INT)",
+            "last_line": "CAST(c_custkey % 120 + 61 AS INT)",
+            "body": "CASE c_custkey % 4 WHEN 0 THEN 'x = escape(param)' WHEN 1 THEN 'check_permission(user); run()' WHEN 2 THEN 'verify_nonce(x); check_permission(y)' ELSE 'return x' END",
+            "c_custkey": "c_custkey",
+        },
+    ),
+    "hunks": (
+        "customer",
+        "c_custkey < 150",
+        {
+            "file_path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
+            "first_line": "CAST(c_custkey % 30 + 1 AS INT)",
+            "line_count": "CAST(c_custkey % 90 + 40 AS INT)",
+            "commit_id": "CAST(c_custkey * 3 AS BIGINT)",
+        },
+    ),
+    "sources": (
+        "customer",
+        "c_custkey < 150",
+        {
+            "path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
+            "text": "'import os' || chr(10) || 'x = 1' || chr(10) || '  execute(sql + param)' || chr(10) || repeat('y = ' || CAST(c_custkey AS STRING) || chr(10), CAST(c_custkey % 90 AS INT))",
+        },
+    ),
+    "replies": (
+        "documents",
+        "TRUE",
+        {
+            "ord": "CAST(doc_id AS BIGINT)",
+            "content": """CASE doc_id % 12
+                WHEN 0 THEN '{"verification_status": "confirmed", "verification_notes": "ok"}'
+                WHEN 1 THEN '```json' || chr(10) || '{"verification_status": "false_positive"}' || chr(10) || '```'
+                WHEN 2 THEN '[{"verification_status": "confirmed", "verification_notes": "first"}, {"verification_status": "false_positive"}]'
+                WHEN 3 THEN '[{"triage_verdict": "false_positive"}]'
+                WHEN 4 THEN 'not json at all'
+                WHEN 5 THEN '{"verification_status": 5}'
+                WHEN 6 THEN '{"verification_notes": "no status"}'
+                WHEN 7 THEN '[]'
+                WHEN 8 THEN '["text"]'
+                WHEN 9 THEN '{"verification_status": "odd", "verification_notes": null}'
+                WHEN 10 THEN '{"verification_status": "confirmed", "verification_notes": 7}'
+                ELSE '[{"verification_status": 3, "triage_verdict": "confirmed", "verification_notes": "x"}]' END""",
+        },
+    ),
+    "triage_files": (
+        "documents",
+        "TRUE",
+        {
+            "batch": "CAST(floor(doc_id / 8) AS BIGINT)",
+            "path": "'d' || CAST(doc_id AS STRING) || '.py'",
+            "analysed": "doc_id % 9 = 0",
+            "suspicion": "CAST(CASE WHEN doc_id % 3 = 0 OR (doc_id >= 80 AND doc_id < 160 AND doc_id % 8 < 6) THEN NULL ELSE (doc_id % 11) / 10.0 END AS DOUBLE)",
+            "broken": "floor(doc_id / 8) % 7 = 3",
+        },
+    ),
+    "patches": (
+        "part",
+        "TRUE",
+        {
+            "ord": "CAST(p_partkey AS BIGINT)",
+            "patch": """'--- a/' || CASE p_partkey % 6 WHEN 0 THEN 'src/crypto/aes.c' WHEN 1 THEN 'lib/database.py' WHEN 2 THEN 'web/http.js' WHEN 3 THEN 'net/socket.c' WHEN 4 THEN 'login.php' ELSE 'main.c' END
+                || chr(10) || '+++ b/x' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || CASE p_partkey % 7
+                WHEN 0 THEN '-cursor.execute(format(sql))' || chr(10) || '+cursor.prepare(sql, parameter)'
+                WHEN 1 THEN '-el.innerHTML = x' || chr(10) || '+el.textContent = escape(x)'
+                WHEN 2 THEN '-strcpy(a, b)' || chr(10) || '+strncpy(a, b, length)'
+                WHEN 3 THEN '-free(p)' || chr(10) || '+free(p); p = NULL'
+                WHEN 4 THEN '-path.join(base, name)' || chr(10) || '+canonicalize(base)'
+                WHEN 5 THEN '-old line number ' || CAST(p_partkey AS STRING) || chr(10) || '+new line number ' || CAST(p_partkey AS STRING) || repeat(' more', CAST(p_size AS INT))
+                ELSE '+only added' END
+                || CASE WHEN p_partkey % 4 = 0 THEN chr(10) || '@@ -9,1 +9,1 @@' || chr(10) || ' context' || chr(10) || '-check nothing' || chr(10) || '+validate(x); sanitize(x)' ELSE '' END""",
+        },
+    ),
+    "rule_lines": (
+        "part",
+        "TRUE",
+        {
+            "ord": "CAST(p_partkey AS BIGINT)",
+            "line": "CASE p_partkey % 8 WHEN 0 THEN 'PATTERN p1 CWE-89 return -> query[0] HIGH' WHEN 1 THEN '  PATTERN p2  CWE-79 param[1] -> echo[1] MEDIUM trailing' WHEN 2 THEN 'PATTERN p3 CWE-78 param[x] -> exec[0] LOW' WHEN 3 THEN 'PATTERN p4 CWE-78 return exec[0] LOW' WHEN 4 THEN 'PATTERN p5 CWE-78 param[0] -> exec CRITICAL' WHEN 5 THEN 'PATTERN p6 CWE-22 param[0] -> open[2] CRITICAL' WHEN 6 THEN 'PATTERN p7 CWE-22 param[0] -> open[0] SEVERE' ELSE 'pattern p8 CWE-22 return -> open[0] LOW' END",
+            "code": "CASE p_size % 7 WHEN 0 THEN 'query(a, b)' WHEN 1 THEN 'echo ( x )' WHEN 2 THEN 'echo(a, b, c)' WHEN 3 THEN 'open()' WHEN 4 THEN 'open( name )' WHEN 5 THEN 'echo(a' ELSE 'nothing here' END",
+        },
+    ),
     "verdicts": (
         "conversations",
         "TRUE",

@@ -50,6 +50,46 @@ def by_primitive(status: Column, required_present: Column, sensitive: Column) ->
     return F.when(required_present & (status == "confirmed"), "needs_review").when(~required_present & sensitive & (status == "needs_review"), "confirmed").otherwise(status)
 
 
+def _noted(notes: Column, reason: Column) -> Column:
+    return F.when(F.trim(F.coalesce(notes, F.lit(""))) == "", reason).otherwise(F.concat(notes, F.lit(" ("), reason, F.lit(")")))
+
+
+def refuted(status: Column, notes: Column, primitive: Column, fault: Column, path: Column) -> Column:
+    """struct(status, notes): a confirmed finding whose named function holds a required check is a false positive; where the file
+    cannot be read it needs review. primitive and fault: of ``anchors.primitives``."""
+    confirmed = F.coalesce(status == "confirmed", F.lit(False))
+    found, unread = confirmed & primitive.isNotNull(), confirmed & fault.isNotNull()
+    reason = F.when(found, F.concat(F.lit("not confirmed: "), primitive, F.lit(" found in the body of the function this finding names"))).when(unread, F.concat(fault, F.lit(": "), path))
+    return F.struct(F.when(found, "false_positive").when(unread, "needs_review").otherwise(status).alias("status"), F.when(reason.isNotNull(), _noted(notes, reason)).otherwise(notes).alias("notes"))
+
+
+def by_absence(status: Column, notes: Column, primitive: Column, fault: Column, path: Column, sensitive: Column, enabled: bool = True) -> Column:
+    """struct(status, notes): for a sensitive change of state the absence of a required check confirms or corroborates; its
+    presence leaves review, or asks for it; a file that cannot be read changes nothing but the notes."""
+    was = status == "confirmed"
+    asked = F.coalesce(status.isin("confirmed", "needs_review") & sensitive, F.lit(False)) & F.lit(enabled)
+    here = F.lit(" found in the body of the function this finding names")
+    reason = (
+        F.when(primitive.isNotNull() & was, F.concat(F.lit("downgraded from confirmed: "), primitive, here, F.lit(" — primitive may be a mitigation")))
+        .when(primitive.isNotNull(), F.concat(F.lit("not confirmed by absence: "), primitive, here))
+        .when(fault.isNotNull(), F.concat(F.lit("not confirmed by absence: cannot read file to check for primitive ("), fault, F.lit(": "), path, F.lit(")")))
+        .when(was, "corroborated by absence: no security primitive found in the body of the function this finding names")
+        .otherwise("confirmed by absence: no security primitive found in the body of the function this finding names")
+    )
+    new = F.when(primitive.isNotNull(), "needs_review").when(fault.isNotNull(), status).otherwise("confirmed")
+    return F.struct(F.when(asked, new).otherwise(status).alias("status"), F.when(asked, _noted(notes, reason)).otherwise(notes).alias("notes"))
+
+
+def exploit_confirmed(triage: Column) -> Column:
+    """A confirmed exploit passes triage where nothing was decided."""
+    return F.coalesce(triage, F.lit("pass"))
+
+
+def compiled(compiles: Column, error: Column) -> Column:
+    """struct(status, note) of a proof of concept's compilation."""
+    return F.struct(F.when(compiles, "confirmed").otherwise("failed").alias("status"), F.when(compiles, "PoC compiled successfully").otherwise(F.concat(F.lit("PoC compilation failed: "), F.coalesce(error, F.lit("")))).alias("note"))
+
+
 def after_batch_error(status: Column) -> Column:
     return F.when(status == "confirmed", status).otherwise("needs_review")
 

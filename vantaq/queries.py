@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import ctes, view
 from .functions import ids, scoring, text, verdict
 from .operators import code, evaluation, findings, history, planning, retrieval
+from .registry import query
 from .schema import at_least, severity_rank
 from .sinks import writers
 from .sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 #: The day that ages are counted to.
 AS_OF = "1998-08-02"
 RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def joined(c: Column | str) -> Column:
     return F.array_join(F.col(c) if isinstance(c, str) else c, ",")
 
