@@ -483,8 +483,10 @@ def spans(docs: DataFrame, width: int = 50) -> DataFrame:
     # Some text for the compressor to start from; no result depends on it.
     sample = "\n".join(r[0] for r in docs.filter(F.col("text").isNotNull()).select(F.substring("text", 1, 400)).limit(500).collect()).encode()[:200_000]
     sent = docs.mapInArrow(_send(width, buckets, sample, spark.sparkContext.broadcast(hot)), "bucket long, flush long, blob binary")
-    settled = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle_all(width, buckets, sample), "flush long, home boolean, blob binary")
-    return written(settled.repartition(tasks, "flush").sortWithinPartitions("flush", "home").mapInArrow(_bring_home(width, sample), "doc_id long, span long"), "spans")
+    dealt = lambda df, to: df.withColumn("task", F.pmod(to, F.lit(tasks)).cast("int")).repartitionById(tasks, "task").drop("task")  # noqa: E731  tasks of as many buckets each
+    settled = dealt(sent, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_settle_all(width, buckets, sample), "flush long, home boolean, blob binary")
+    number = F.shiftright("flush", 32) * 7919 + F.col("flush").bitwiseAND(0xFFFFFFFF)
+    return written(dealt(settled, number).sortWithinPartitions("flush", "home").mapInArrow(_bring_home(width, sample), "doc_id long, span long"), "spans")
 
 
 def cut(docs: DataFrame, width: int = 50, text: bool = False) -> DataFrame:
