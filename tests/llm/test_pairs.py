@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -192,6 +193,32 @@ def test_a_large_bucket_is_split_along_every_run(spark):
     assert got == near(docs) == {d: (15, d // 16 * 16) for d, _ in docs}
 
 
+def test_repeated_and_nameless_rows(spark):
+    long_text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "b " + long_text, 1), (1, "a " + long_text, 2), (2, "a " + long_text, 3), (None, "a " + long_text, 4), (None, None, 5), (3, "other words entirely", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keys int")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.set_id, r.n_copies, r.n_links, r.class_id) for r in jaccard.join(df).collect())
+    assert got == [(False, 1, 1, 3, 2, 1), (False, 1, 1, 3, 2, 1), (False, 2, 1, 3, 2, 1), (False, 3, 3, 1, 0, 3), (True, 0, None, 1, 0, None), (True, 0, None, 1, 0, None)]
+
+
+def test_recall_at_the_registered_parameters(spark):
+    """Near pairs of the documents table found by the query, with its own parameters, against all pairs."""
+    from vantaq.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = near(docs)
+    got = {r.doc_id: (r.n_links, r.class_id) for r in queries.op6_jaccard_join(spark, sf).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values()) > 0 and set(got) == set(want)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    edges = [(0, i) for i in range(1, 40)] + [(40 + i, i) for i in range(1, 40)] + [(500, 501)]
+    got = {r.u: r.root for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 80) if i != 40}, 501: 500}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -241,6 +268,53 @@ def test_block_bounds_lose_nothing():
                 assert (k, i) in found
 
 
+def bm25_by_hand(items: list[list[str]], query: set[str]) -> list[float]:
+    """Each item's score for a query, its own text's score being 1."""
+    n, mean = len(items), sum(map(len, items)) / len(items)
+    df = {w: sum(w in i for i in items) for w in {w for i in items for w in i}}
+    part = lambda w, i: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * i.count(w) * 2.2 / (i.count(w) + 1.2 * (0.25 + 0.75 * len(i) / mean))
+    return [sum(part(w, i) for w in set(i) & query) / sum(part(w, i) for w in set(i)) if i else 0.0 for i in items]
+
+
+def test_retrieved_items_are_those_of_brute_force():
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(80)]
+    items = [[rnd.choice(words[: rnd.choice((10, 80))]) for _ in range(rnd.randint(0, 25))] for _ in range(120)]
+    index = decontam.build(list(range(120)), [" ".join(i) for i in items])
+    hashes = dict(zip(words, (lambda b: (lambda w: w[3].of(w[0], w[1]))(ts.words(b)))(next(ts.blocks(pa.array([" ".join(words)]))))))
+    for threshold in (0.2, 0.5, 0.9):
+        searcher = decontam.Searcher(index, threshold, 0.6)
+        for _ in range(40):
+            query = set(rnd.sample(words, rnd.randint(1, 30))) | set(rnd.choice(items))
+            terms = np.array(sorted(t for t in searcher.terms.find(np.array([hashes[w] for w in query], np.uint64)).tolist() if t >= 0), np.int64)
+            if not len(terms):
+                continue
+            want = {i: s for i, s in enumerate(bm25_by_hand(items, query)) if s >= threshold}
+            hits, score = searcher.retrieved(terms)
+            assert {i for i, s in want.items() if s > threshold + 1e-5} <= set(hits.tolist()) <= {i for i, s in enumerate(bm25_by_hand(items, query)) if s > threshold - 1e-5}
+            assert all(abs(want.get(i, threshold) - s) < 1e-4 for i, s in zip(hits.tolist(), score.tolist()))
+            # No posting list beyond the sums of largest impacts
+            assert index.top[terms].sum() >= max(score, default=0) - 1e-4
+
+
+def test_question_and_answer_must_stand_together(spark):
+    """A long item makes passages long; a short item's halves far apart in one are no match."""
+    rnd = random.Random(3)
+    noise = lambda n: " ".join("".join(rnd.choice("qwrtz") for _ in range(5)) for _ in range(n))
+    bench = spark.createDataFrame([*ITEMS[:2], (9, " ".join(f"long{k}" for k in range(400)))], "item_id long, text string")
+    question, answer = ITEMS[0][1].split("? ")
+    df = spark.createDataFrame([(1, question + " " + noise(150) + " " + answer), (2, noise(50) + ITEMS[0][1] + noise(100)), (3, " ".join(f"long{k}" for k in range(400)))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(df, bench).collect()) == [(2, 1), (3, 9)]
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PART_BYTES", 60)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = spark.createDataFrame([(1, "x " + ITEMS[0][1]), (2, ITEMS[1][1]), (3, "nothing")], "doc_id long, text string")
+    assert len(decontam._indexes(df, bench)) > 1
+    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(df, bench).collect()) == [(1, 1), (2, 2)]
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 

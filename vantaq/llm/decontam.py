@@ -1,17 +1,21 @@
 """Benchmark decontamination.
 
 Test items are indexed by BM25: for each term the items that hold it with their impacts, scaled so that
-an item's own text scores 1 against it. Items are dealt to blocks, and each term keeps its largest impact in each block.
-Every text is cut into overlapping passages that cover any stretch of an item's length whole; each is a
-query. As in block-max WAND, a block is opened for a passage only if the sum of its terms' largest
-impacts reaches the threshold; every item in it that does reach it is retrieved, however many there
-are. A retrieved pair is verified on the passage's words: of the item's question (all but its last
+an item's own text scores 1 against it. Posting lists are cut into blocks of items; each term keeps its largest impact on any
+item and on those of each block. Every text is cut into overlapping passages that cover any stretch of an item's length whole; each is a
+query. As in block-max WAND, a passage is searched only if the sum of its terms' largest impacts reaches the threshold, and then a block is
+opened only if the sum of its terms' largest impacts in that block does; of open blocks alone postings are read, and every item that
+reaches the threshold is retrieved, however many there are. A retrieved pair is verified on stretches of the passage of at most
+twice the item's length: of the item's question (all but its last
 part) and of its answer, the share of ``GRAM``-word sequences found there must reach the overlap.
 
-The index covers the benchmark (a table of bounded size); texts are processed whole.
+The index covers the benchmark, PART_BYTES of its text at a time: a larger one is searched as several indexes, each with statistics of its
+own, so what is broadcast at once is bounded. Texts are processed whole.
 
 Cases: null texts and those without words yield nothing; items without words match nothing; items of
-fewer than ``GRAM`` words need all of their words in sequence; repeated items and rows count as often as they stand there.
+fewer than ``GRAM`` words need all of their words in sequence; of the passages of a pair the one with the best score counts, then
+the best overlaps; repeated items and rows count as often as they stand there; very long texts are one block each; empty tables give no rows
+(an empty benchmark leaves all documents); other columns, whatever their names, are not looked at by ``matches`` and stay in ``clean``.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ from .base import per_batch
 
 U64 = np.uint64
 K1, B = 1.2, 0.75
-#: Items to a block, until there would be more than BLOCKS of them.
-BLOCK_ITEMS, BLOCKS = 16, 64
+#: Items to a block.
+BLOCK_ITEMS = 16
+#: Bytes of the benchmark's text that are indexed and broadcast at once.
+PART_BYTES = 64 << 20
 GRAM = 3
 #: The share of an item's words that count as its answer.
 ANSWER = 0.25
-BITS = 20
 
 
 @dataclass
@@ -41,11 +46,13 @@ class Index:
     item: np.ndarray  # item_id of each item
     null: np.ndarray  # whether it has none
     term: np.ndarray  # sorted keys of terms
-    first: np.ndarray  # postings of each term: posting_item, posting_impact
+    top: np.ndarray  # each term's largest impact
+    first: np.ndarray  # block postings of each term: block, ceiling, and the place of their first posting
+    block: np.ndarray
+    ceiling: np.ndarray
+    at: np.ndarray
     posting_item: np.ndarray
     posting_impact: np.ndarray
-    block_of: np.ndarray
-    ceiling: np.ndarray  # terms x blocks
     question: list[np.ndarray]
     answer: list[np.ndarray]
     size: np.ndarray  # words of each item
@@ -70,8 +77,6 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     n = len(ids)
     size = np.array([len(w) for w in words], np.int64)
     term = np.unique(np.concatenate(words)) if n else np.zeros(0, U64)
-    if len(term) >> BITS:
-        raise ValueError("the benchmark has too many distinct words")
     item = np.repeat(np.arange(n), size)
     code = np.searchsorted(term, np.concatenate(words)) if n else np.zeros(0, np.int64)
     key, tf = np.unique(code * max(n, 1) + item, return_counts=True)
@@ -81,13 +86,14 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / max(1.0, size.mean() if n else 1.0)))
     own = np.bincount(d, impact, n)
     impact = (impact / np.maximum(own[d], 1e-12)).astype(np.float32)
-    blocks = max(1, min(BLOCKS, -(-n // BLOCK_ITEMS)))
-    block_of = np.arange(n) * blocks // max(n, 1)
-    ceiling = np.zeros((len(term), blocks), np.float32)
-    np.maximum.at(ceiling, (t, block_of[d]), impact)
+    block = d // BLOCK_ITEMS
+    heads = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (block[1:] != block[:-1])))[: len(t)]
+    ceiling = np.maximum.reduceat(impact, heads) if len(heads) else impact
+    first = np.searchsorted(t[heads], np.arange(len(term) + 1))
+    top = np.maximum.reduceat(impact, np.searchsorted(t, np.arange(len(term)))) if len(term) else impact
     cut = [len(w) - max(1, round(ANSWER * len(w))) if len(w) >= 2 * GRAM else 0 for w in words]
     return Index(
-        np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), term, np.searchsorted(t, np.arange(len(term) + 1)), d, impact, block_of, ceiling,
+        np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), term, top, first, block[heads], ceiling, np.append(heads, len(t)), d, impact,
         [np.unique(_grams(w[:c], GRAM)) for w, c in zip(words, cut)], [np.unique(_grams(w[max(0, c - GRAM + 1) :] if c else w, GRAM if c else len(w))) for w, c in zip(words, cut)], size,
     )
 
@@ -99,6 +105,35 @@ class Searcher:
         self.terms.add(index.term, np.arange(len(index.term), dtype=np.int32))
         self.stride = int(max(1, index.size.max(initial=1)))
 
+    def retrieved(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items (by number) that reach the threshold for a passage of these terms (distinct, ascending), and their scores."""
+        x = self.index
+        n = x.first[mine + 1] - x.first[mine]
+        post = _ranges(x.first[mine], n)
+        block = x.block[post]
+        open_ = np.bincount(block, x.ceiling[post]) >= self.threshold - 1e-4
+        post = post[open_[block]]
+        n = x.at[post + 1] - x.at[post]
+        at = _ranges(x.at[post], n)
+        score = np.bincount(x.posting_item[at], x.posting_impact[at], len(x.item)) if len(at) else np.zeros(len(x.item))
+        hits = np.flatnonzero(score >= self.threshold)
+        return hits, score[hits]
+
+    def overlaps(self, i: int, words: np.ndarray) -> tuple[float, float]:
+        """The best question and answer overlap (least of both first) of item i with a stretch of the words of at most twice its length."""
+        x, size = self.index, int(self.index.size[i])
+        best = (0.0, 0.0)
+        for lo in range(0, max(1, len(words) - size), size):
+            text = words[lo : lo + 2 * size]
+            if len(x.question[i]):
+                grams = _grams(text, GRAM) if len(text) >= GRAM else np.zeros(0, U64)
+                got = float(np.isin(x.question[i], grams).mean()), float(np.isin(x.answer[i], grams).mean())
+            else:
+                share = float(np.isin(x.answer[i], _grams(text, size) if len(text) >= size else np.zeros(0, U64)).mean())
+                got = share, share
+            best = max(best, got, key=lambda o: (min(o), max(o), o))
+        return best
+
     def block(self, block: ts.Block) -> list[tuple[int, int, float, float, float]]:
         """document (in the block), item (by number), score, question and answer overlap of the best passage of each pair."""
         x = self.index
@@ -114,82 +149,76 @@ class Searcher:
         base = np.zeros(block.n + 1, np.int64)
         np.cumsum(np.diff(first) // self.stride + 2, out=base[1:])
         p = base[doc] + k
-        key = np.concatenate([((p + 1) << BITS) | term[at], (p << BITS) | term[at]])
+        key = np.concatenate([((p + 1) << 32) | term[at], (p << 32) | term[at]])
         key.sort()
         key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
         if not len(key):
             return []
-        passage, t = key >> BITS, key & ((1 << BITS) - 1)
+        passage, t = key >> 32, key & 0xFFFFFFFF
         heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        bound = np.add.reduceat(x.ceiling[t], heads, axis=0)
-        row, blk = np.nonzero(bound >= self.threshold - 1e-4)
-        if not len(row):
-            return []
         stops = np.append(heads[1:], len(key))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for r in np.unique(row):
-            open_blocks = blk[row == r]
-            mine = t[heads[r] : stops[r]]
-            n = x.first[mine + 1] - x.first[mine]
-            post = np.repeat(x.first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            items = x.posting_item[post]
-            keep = np.isin(x.block_of[items], open_blocks)
-            score = np.bincount(items[keep], x.posting_impact[post[keep]], len(x.item))
-            hits = np.flatnonzero(score >= self.threshold)
+        for r in np.flatnonzero(np.add.reduceat(x.top[t], heads) >= self.threshold - 1e-4).tolist():
+            hits, score = self.retrieved(t[heads[r] : stops[r]])
             if not len(hits):
                 continue
             q = int(passage[heads[r]])
             d = int(np.searchsorted(base, q, "right") - 1)
             lo = max(first[d], first[d] + (q - base[d] - 1) * self.stride)
-            text = h[lo : min(first[d + 1], first[d] + (q - base[d] + 1) * self.stride)]
-            grams = {GRAM: _grams(text, GRAM)} if len(text) >= GRAM else {}
-            for i in hits.tolist():
-                if len(x.question[i]):
-                    g = grams.get(GRAM, np.zeros(0, U64))
-                    asked, answered = float(np.isin(x.question[i], g).mean()), float(np.isin(x.answer[i], g).mean())
-                else:
-                    size = int(x.size[i])
-                    g = grams.setdefault(size, _grams(text, size) if len(text) >= size else np.zeros(0, U64))
-                    asked = answered = float(np.isin(x.answer[i], g).mean())
+            words = h[lo : min(first[d + 1], first[d] + (q - base[d] + 1) * self.stride)]
+            for i, s in zip(hits.tolist(), score.tolist()):
+                asked, answered = self.overlaps(i, words)
                 if asked >= self.overlap and answered >= self.overlap:
-                    best = (float(score[i]), asked, answered)
+                    best = (s, asked, answered)
                     found[d, i] = max(found.get((d, i), best), best)
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
 
-def _index(docs: DataFrame, benchmark: DataFrame):
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").collect()  # the benchmark
-    return docs.sparkSession.sparkContext.broadcast(build([r[0] for r in items], [r[1] for r in items]))
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> list:
+    """Broadcast indexes of the benchmark, each of about PART_BYTES of text at most; one at a time passes through the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    out = []
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        out.append(docs.sparkSession.sparkContext.broadcast(build([r[0] for r in rows], [r[1] for r in rows])))
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """doc_id, item_id, score (1 for the item's own text), question_overlap and answer_overlap of every verified pair."""
-    index = _index(docs, benchmark)
-    state: dict[str, Searcher] = {}
+    indexes = _indexes(docs, benchmark)
+    state: list[Searcher] = []
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "it" not in state:
-            state["it"] = Searcher(index.value, threshold, overlap)
+        if not state:
+            state.extend(Searcher(x.value, threshold, overlap) for x in indexes)
         rows, ids = [], batch.column(0)
         for b in ts.blocks(batch.column(1)):
-            rows += [(ids[b.first + d].as_py(), None if index.value.null[i] else int(index.value.item[i]), *v) for d, i, *v in state["it"].block(b)]
+            for s in state:
+                rows += [(ids[b.first + d].as_py(), None if s.index.null[i] else int(s.index.item[i]), *v) for d, i, *v in s.block(b)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """The rows of docs without a verified pair."""
-    index = _index(docs, benchmark)
+    indexes = _indexes(docs, benchmark)
     at = docs.columns.index("text")
-    state: dict[str, Searcher] = {}
+    state: list[Searcher] = []
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "it" not in state:
-            state["it"] = Searcher(index.value, threshold, overlap)
+        if not state:
+            state.extend(Searcher(x.value, threshold, overlap) for x in indexes)
         good = np.ones(batch.num_rows, bool)
         for b in ts.blocks(batch.column(at)):
-            good[[b.first + d for d, *_ in state["it"].block(b)]] = False
+            for s in state:
+                good[[b.first + d for d, *_ in s.block(b)]] = False
         return batch.filter(pa.array(good))
 
     return docs.mapInArrow(per_batch(keep), docs.schema)

@@ -10,8 +10,10 @@ A bucket of more than ``PART`` members is compared block against block, in as ma
 blocks, so no group much exceeds two blocks. A pair that shares several buckets counts in the one of least number.
 
 Cases: texts of one to four words have one shingle, all their words; null texts and those without words
-have none and link to nothing; rows without doc_id are left out of all links; rows that repeat a doc_id are taken for
-copies; equal sets are linked whatever their number. A class's id is its smallest doc_id.
+have none and link to nothing; rows without doc_id link to nothing, and have no set_id and class_id; rows that repeat a doc_id are one
+document, of the least of their texts, and have a row each; equal sets are linked whatever their number; ties cannot arise, a class's id
+is its smallest doc_id; very long texts are sets like others; an empty table gives no rows; other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .base import partitions, per_batch, shared_dir, written
 U64 = np.uint64
 SHINGLE = 5
 LEVELS, DEPTH = 2, 4
+#: A vertex with more edges than this, and than one edge in HOT of all, is dealt to SALTS tasks.
+HOT, SALTS = 1000, 64
 #: Members of a bucket that are compared in one group; larger buckets go block against block.
 PART = 256
 
@@ -255,24 +259,43 @@ def _compare_all(threshold: float):
     return each
 
 
+def _with_least(both: DataFrame, edges: int) -> DataFrame:
+    """both (u, v) with m, the least v of u. Edges of a hub are dealt to SALTS tasks, as its m is; hubs have one edge in HOT of all
+    at least, so there are no more than 2 x HOT of them."""
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    hubs = low.filter(F.col("c") > max(HOT, edges // HOT)).select("u", F.lit(SALTS).alias("salts"))
+    hubs = F.broadcast(hubs)
+    salted = both.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    spread = low.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(spread, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v. The smallest member of each vertex's component: u, root (vertices that are their own root are left out).
     Alternates large and small stars until nothing changes; every round is checkpointed in the shared folder."""
     shared_dir(edges.sparkSession)
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct().checkpoint()
-    seen = None
+    n, seen = e.count(), None
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(e.union(e.select("v", "u")), n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        # u has larger numbers only on its left now, so its least neighbour is its root's candidate.
+        least = _with_least(large, n)
+        small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = small.filter("u != v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return e.select("u", F.col("v").alias("root"))
-        seen = now
+        n, seen = now[0], now
+
+
+def _one_text_each(docs: DataFrame) -> DataFrame:
+    """Rows that repeat a doc_id get the least of its texts. Only such rows are shuffled with their texts."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(docs.select("doc_id").join(least, "doc_id"))
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit: int = 2048) -> DataFrame:
@@ -280,9 +303,11 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit:
     set), n_links (other documents at the threshold or above, copies among them) and class_id."""
     spark = docs.sparkSession
     runs = runs_for(threshold, recall)
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = docs.filter("doc_id IS NULL").select("doc_id")
+    docs = _one_text_each(docs.filter("doc_id IS NOT NULL"))
     signed = written(docs.mapInArrow(per_batch(_signatures(runs)), "doc_id long, n long, a long, b long, keys array<long>"), "signatures")
-    sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))  # rows that repeat a doc_id count each
     reps = sets.select("rep", "copies")
     rows = signed.filter("n > 0").join(reps.select("rep"), signed["doc_id"] == F.col("rep")).select("rep", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     found = written(_buckets(rows, limit), "buckets")
@@ -301,10 +326,11 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, limit:
     roots = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = sets.join(links, "rep", "left").join(roots, F.col("rep") == F.col("u"), "left").select("a", "b", "n", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    return signed.drop("keys").join(known, ["a", "b", "n"], "left").select(
+    named = signed.drop("keys").join(known, ["a", "b", "n"], "left").select(
         "doc_id",
         F.coalesce("rep", "doc_id").alias("set_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("root", "doc_id").alias("class_id"),
     )
+    return named.unionByName(nameless.select("doc_id", F.lit(None).cast("long").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_id")))
