@@ -43,7 +43,8 @@ def meaningful(text: Column, n: int) -> Column:
 
 
 def ellipsis(text: Column, n: int) -> Column:
-    return F.when(F.octet_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+    """At most n bytes; longer texts keep n - 3 characters, and an ellipsis."""
+    return F.when(F.octet_length(text) > n, F.concat(F.substring(text, 1, max(0, n - 3)), F.lit("..."))).otherwise(text)
 
 
 def sink_calls(code: Column) -> Column:

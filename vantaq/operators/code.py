@@ -5,6 +5,7 @@ The scanners are plain Python over one file's text and run in Arrow batches; wha
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,17 +30,39 @@ TAGS = {
     ("double_free", "CWE-415"): ("free",),
     ("off_by_one", "CWE-193"): ("strncpy", "strncat"),
 }
-#: How a hook's handler is written: a name, or a method of an object in either array syntax.
-HANDLERS = (
-    r"[ \t]*['\"]([a-zA-Z_]\w*)['\"]",
-    r"[ \t]*\[\s*\$[a-zA-Z_]\w*\s*,\s*['\"]([a-zA-Z_]\w*)['\"]\s*\]",
-    r"[ \t]*array\s*\(\s*\$[a-zA-Z_]\w*\s*,\s*['\"]([a-zA-Z_]\w*)['\"]\s*\)",
-)
 HANDLER_WINDOW = 200
 CALL_DEPTH = 2
 _CALL = re.compile(r"([^\W\d][\w:]*)\s*\(")
-_QUIET = re.compile(r"'(?:\\.|[^'\\])*(?:'|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|(?://|#)[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
-_FUNCTION = re.compile(r"function\s+([a-zA-Z_]\w*)\s*\([^)]*\)\s*(?::\s*[a-zA-Z_\\][\w\\]*\s*)?\{", re.A)
+_PIECE = re.compile(r"[()\[\]{},]|[^\s()\[\]{},]+")
+#: What a brace can hide in: a string, a comment; or a brace.
+_LEXEME = re.compile(r"(?P<quiet>'(?:\\.|[^'\\])*(?:'|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|(?://|#)[^\n]*|/\*.*?(?:\*/|\Z))|[{}]", re.S)
+
+
+class _Cursor:
+    """Reads a text from a place on; each step returns what it read, or nothing and stays."""
+
+    def __init__(self, source: str, at: int = 0) -> None:
+        self.source, self.at = source, at
+
+    def space(self, kinds: str = " \t\n\r\f\v") -> bool:
+        start = self.at
+        while self.at < len(self.source) and self.source[self.at] in kinds:
+            self.at += 1
+        return self.at > start
+
+    def mark(self, *options: str) -> str:
+        for o in options:
+            if self.source.startswith(o, self.at):
+                self.at += len(o)
+                return o
+        return ""
+
+    def name(self, more: str = "") -> str:
+        """An ASCII identifier; ``more`` may stand in it as well."""
+        start = self.at
+        while self.at < len(self.source) and (c := self.source[self.at]).isascii() and (c.isalpha() or c == "_" or c in more or (self.at > start and c.isdigit())):
+            self.at += 1
+        return self.source[start : self.at]
 
 
 def call_sites(source: str) -> list[tuple[str, int]]:
@@ -53,48 +76,105 @@ def call_sites(source: str) -> list[tuple[str, int]]:
         if at in names:
             found.add((names[at], commas + 1 if commas else int(content)))
 
-    for i, c in enumerate(source):
-        if c in "([{":
-            frames.append([i, 0, False])
+    for m in _PIECE.finditer(source):
+        c = m[0]
+        if c in ("(", "[", "{"):
+            frames.append([m.start(), 0, False])
         elif frames:
-            if c in ")]}":
+            if c in (")", "]", "}"):
                 close()
             elif c == ",":
                 frames[-1][1] += 1
-            elif not c.isspace():
+            else:
                 frames[-1][2] = True
     while frames:
         close()
     return sorted(found)
 
 
+def _declarations(source: str) -> Iterator[tuple[str, int]]:
+    """Names of declared functions, and the places of their opening braces: function, a name, parameters up to the first closing
+    bracket, perhaps a colon and a type, and the brace."""
+    at = source.find("function")
+    while at >= 0:
+        c = _Cursor(source, at + len("function"))
+        if c.space() and (name := c.name()):
+            c.space()
+            if c.mark("(") and (close := source.find(")", c.at)) >= 0:
+                c.at = close + 1
+                c.space()
+                if c.mark(":"):
+                    c.space()
+                    c.name("\\")
+                    c.space()
+                if c.mark("{"):
+                    yield name, c.at - 1
+                    at = c.at - len("function")
+        at = source.find("function", at + len("function"))
+
+
 def function_bodies(source: str) -> list[tuple[str, int, str]]:
     """(name, line of the opening brace, body) of each function; the first of a name. Braces in strings and comments don't count."""
+    ends = [m.start() for m in re.finditer("\n", source)]
     out: dict[str, tuple[str, int, str]] = {}
-    for m in _FUNCTION.finditer(source):
-        if m[1] in out:
+    for name, start in _declarations(source):
+        if name in out:
             continue
-        start = m.end() - 1
-        quiet = _QUIET.sub(lambda q: " " * len(q[0]), source[start:])
-        depth, end = 0, len(quiet)
-        for b in re.finditer(r"[{}]", quiet):
-            depth += 1 if b[0] == "{" else -1
-            if not depth:
-                end = b.end()
-                break
-        out[m[1]] = (m[1], max(1, len(source[:start].splitlines())), source[start : start + end])
+        depth, end = 0, len(source)
+        for m in _LEXEME.finditer(source, start):  # no further than the body's end
+            if m["quiet"] is None:
+                depth += 1 if m[0] == "{" else -1
+                if not depth:
+                    end = m.end()
+                    break
+        before = bisect.bisect_left(ends, start)
+        line = before + (start > 0 and source[start - 1] != "\n")
+        out[name] = (name, max(1, line), source[start:end])
     return list(out.values())
 
 
-def hook_registrations(source: str, patterns: list[str], label: str = "hook", handlers: tuple[str, ...] = HANDLERS) -> list[tuple[str, str]]:
-    """Distinct (hook, handler) in order: a registration matches a pattern (its group ``hook`` is the name) and a handler follows it."""
+def handler(window: str) -> str | None:
+    """The handler at the start of a text: a quoted name, or the quoted method of an object in an array."""
+    c = _Cursor(window)
+    c.space(" \t")
+
+    def quoted() -> str | None:
+        if c.mark("'", '"') and (name := c.name()) and c.mark("'", '"'):
+            return name
+        return None
+
+    if window[c.at : c.at + 1] in ("'", '"'):
+        return quoted()
+    closing = "]"
+    if not c.mark("["):
+        if not c.mark("array"):
+            return None
+        c.space()
+        if not c.mark("("):
+            return None
+        closing = ")"
+    c.space()
+    if not (c.mark("$") and c.name()):
+        return None
+    c.space()
+    if not c.mark(","):
+        return None
+    c.space()
+    name = quoted()
+    c.space()
+    return name if c.mark(closing) else None
+
+
+def hook_registrations(source: str, patterns: list[str], label: str = "hook", handlers: tuple[str, ...] | None = None) -> list[tuple[str, str]]:
+    """Distinct (hook, handler) in order: a registration matches a pattern (its group ``hook`` is the name) and a handler follows it, as one
+    of the expressions ``handlers`` has it (its first group), by default as ``handler`` does."""
     out: dict[tuple[str, str], None] = {}
     for p in patterns:
         for m in re.finditer(p, source):
             window = source[m.end() : m.end() + HANDLER_WINDOW]
-            handler = next((h[1] for h in (re.match(x, window) for x in handlers) if h), None)
-            if handler:
-                out.setdefault(((m.groupdict().get("hook") or f"{label}_{handler}"), handler))
+            found = handler(window) if handlers is None else next((h[1] for h in (re.search(x, window) for x in handlers) if h), None)
+            if found:
+                out.setdefault(((m.groupdict().get("hook") or f"{label}_{found}"), found))
     return list(out)
 
 

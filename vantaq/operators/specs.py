@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: What removed and added code tell of a weakness. All words of a group, one word of a group (any), in order.
 WEAKNESSES = (
     ("CWE-89", ("execute", "format"), (), (), ("prepare", "parameter"), ()),
@@ -34,25 +36,20 @@ NAMES = {
 }
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
+def _any(value: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(text, F.lit(w))
+        out = out | F.contains(value, F.lit(w))
     return out
 
 
-def _all(text: Column, words: tuple[str, ...]) -> Column:
+def _all(value: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for w in words:
-        out = out & F.contains(text, F.lit(w))
+        out = out & F.contains(value, F.lit(w))
     return out
 
 
-def shortened(text: Column, most: int) -> Column:
-    """At most so many bytes, else that many characters less three, and an ellipsis."""
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, max(0, most - 3)), F.lit("...")))
-
-
 def hunks(patches: DataFrame) -> DataFrame:
     """patches: ord, patch. ord, hunk_no, removed, added (code, without its marks) of the hunks that remove and add."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.col("patch"), F.lit("\n")), r"\n(?=@@)"), lambda x: F.length(x) > 0)
@@ -79,7 +76,7 @@ def safe_behaviour(removed: Column, added: Column) -> Column:
     r, a = F.lower(removed), F.lower(added)
     found = [F.when(_any(a, words), F.lit(what)) for words, what in BEHAVIOURS] + [F.when(_any(a, ("null",)) & _any(r, ("free",)), F.lit(NULLIFIED))]
     listed = F.array_compact(F.array(*found))
-    plain = F.when(added == "", "").otherwise(F.concat(F.lit("Code modified to address security concern: "), shortened(added, 100)))
+    plain = F.when(added == "", "").otherwise(F.concat(F.lit("Code modified to address security concern: "), text.ellipsis(added, 100)))
     return F.when(F.size(listed) > 0, F.array_join(listed, "; ")).otherwise(plain)
 
 
@@ -99,7 +96,7 @@ def specifications(patches: DataFrame) -> DataFrame:
     name = None
     for cwe, what in NAMES.items():
         name = F.when(F.col("vuln_type") == cwe, what) if name is None else name.when(F.col("vuln_type") == cwe, what)
-    described = F.concat(name.otherwise("Security vulnerability"), F.lit(" detected. Vulnerable code pattern: "), shortened(F.col("removed"), 150))
+    described = F.concat(name.otherwise("Security vulnerability"), F.lit(" detected. Vulnerable code pattern: "), text.ellipsis(F.col("removed"), 150))
     general = F.col("vuln_type").isin(*GENERAL_WEAKNESSES) & _any(F.lower("safe_behavior_pattern"), UNIVERSAL)
     return out.select("ord", "hunk_no", "vuln_type", described.alias("description"), "safe_behavior_pattern", "project_domain", F.when(general, "general").otherwise(F.col("project_domain")).alias("category"))
 

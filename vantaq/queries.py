@@ -10,7 +10,7 @@ from .functions import ids, scoring, text, verdict
 from .operators import code, evaluation, findings, history, planning, retrieval
 from .registry import query
 from .schema import at_least, severity_rank
-from .sinks import writers
+from .sinks import reports, writers
 from .sources import readers
 
 #: The day that ages are counted to.
@@ -377,7 +377,8 @@ BM_A = f"{BM}, s AS (SELECT query, doc, sum(times * (n - df.df + 0.5) / (df.df +
 
 
 def _bm_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("doc"), "text"), spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query"), "text")
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    return readers.spread(docs.select(F.col("doc_id").alias("doc"), "text")), items.select(F.col("item_id").alias("query"), "text")
 
 
 @query("m7_bm25_top10", f"{BM_A} SELECT query, doc, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
@@ -388,16 +389,28 @@ def m7(spark, sf):
 
 
 IDENT = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, '[a-zA-Z0-9_]+'), lambda x: lower(x)), lambda x: length(x) > 2)"
-BM_B = BM.replace(TOK("text"), IDENT("text")) + ", s AS (SELECT query, doc, sum(times * (ln((n - df.df + 0.5) / (df.df + 0.5)) + 1) / (1 - 0.75 + 0.75 * len / mean)) AS score FROM q JOIN df USING (term) JOIN ix USING (term), st GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s)"
+BM_B = BM.replace(TOK("text"), IDENT("text")) + ", s AS (SELECT query, doc, sum(times * (ln((n - df.df + 0.5) / (df.df + 0.5)) + 1) / (1 - 0.75 + 0.75 * len / mean)) AS score FROM q JOIN df USING (term) JOIN ix USING (term), st GROUP BY ALL), a AS (SELECT q0.query, d.doc, coalesce(s.score, 0) AS score FROM q0 CROSS JOIN d LEFT JOIN s ON s.query = q0.query AND s.doc = d.doc), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM a)"
 
 
 @query("m8_bm25_presence_top10", f"{BM_B} SELECT query, doc, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
 def m8(spark, sf):
     docs, asked = _bm_inputs(spark, sf)
     scored = retrieval.bm25_presence(docs, asked, text.identifiers(F.col("text")), text.identifiers(F.col("text")))
+    scored = retrieval.with_zeros(scored, docs, asked, 10)
     return retrieval.ranked(scored, 10).select("query", "doc", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "m9_byte_embeddings",
+    """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), b AS (SELECT doc_id, unnest(range(length(x) // 2)) AS i, x FROM h), v AS (SELECT doc_id, i % 768 AS d, sum(CAST('0x' || substr(x, 2 * i + 1, 2) AS INT) / 255) AS s FROM b GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(s * s)) AS norm, sum(s * (d + 1)) AS moment, max(s) AS top FROM v GROUP BY ALL) SELECT h.doc_id, 768 AS dim, round(coalesce(moment / norm, 0), 4) AS moment, round(coalesce(top / norm, 0), 6) AS top FROM h LEFT JOIN n USING (doc_id)""",
+)
+def m9(spark, sf):
+    v = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", retrieval.byte_embedding(F.col("text")).alias("v"))
+    moment = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.lit(768)), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return v.select("doc_id", F.size("v").alias("dim"), F.round(moment, 4).alias("moment"), r6(F.array_max("v")).alias("top"))
+
+
 @query("a29_corpus_statistics", f"{BM} SELECT (SELECT n FROM st) AS docs, (SELECT round(mean, 6) FROM st) AS mean_len, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM df")
 def a29(spark, sf):
     docs, _ = _bm_inputs(spark, sf)
@@ -621,9 +634,16 @@ def a12(spark, sf):
     return readers.semgrep(_reports(spark, sf))
 
 
-@query("k1_json_rows")
+@query("k1_json_rows", f"{FIND} SELECT ord, id, title, severity, file_path, CAST(line_number AS STRING) AS line_number, array_to_string(sources, ',') AS sources FROM findings")
 def k1(spark, sf):
-    return writers.json_lines(view(spark, sf, "findings").select("ord", "id", "title", "severity", "file_path", "line_number", "sources"))
+    out = writers.json_lines(view(spark, sf, "findings").select(F.col("ord").alias("k"), "id", "title", "severity", "file_path", "line_number", "sources"))
+    value = lambda c: F.get_json_object("value", f"$.{c}")
+    return out.select(value("k").cast("long").alias("ord"), *[value(c).alias(c) for c in ("id", "title", "severity", "file_path", "line_number")], F.array_join(F.from_json(value("sources"), "array<string>"), ",").alias("sources"))
+
+
+@query("k1_json_summary", f"{FIND} SELECT count(*) AS total_findings, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in ('critical', 'high', 'medium', 'low', 'info'))} FROM findings")
+def k1_summary(spark, sf):
+    return reports.summary(view(spark, sf, "findings"))
 
 
 @query("k2_sarif_levels", f"{FIND} SELECT CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM findings GROUP BY 1")
@@ -631,9 +651,47 @@ def k2(spark, sf):
     return view(spark, sf, "findings").groupBy(writers.sarif_level(F.col("severity")).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("k3_markdown_sections")
+def _proofs(spark, sf):
+    return view(spark, sf, "findings").withColumn("poc_code", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("run()\nstep "), F.col("ord").cast("string"))))
+
+
+@query(
+    "k2_sarif_results",
+    f"{FIND} SELECT ord, id AS rule_id, description AS message, CASE WHEN severity IN ('critical','high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, file_path AS uri, CAST(line_number AS STRING) AS start_line, CASE WHEN ord % 4 = 0 THEN 'Proof of Concept (text)' END AS related, CASE WHEN ord % 4 = 0 THEN CAST(11 + length(CAST(ord AS STRING)) AS STRING) END AS bytes, 'https://cwe.mitre.org/data/definitions/' || coalesce(replace(cwe_id, 'CWE-', ''), '0') || '.html' AS help FROM findings",
+)
+def k2_results(spark, sf):
+    f = _proofs(spark, sf)
+    out = f.select("ord", reports.sarif_result(f).alias("j"), reports.sarif_rule(f).alias("r"))
+    at = lambda path: F.get_json_object("j", path)
+    return out.select(
+        "ord", at("$.ruleId").alias("rule_id"), at("$.message.text").alias("message"), at("$.level").alias("level"), at("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"), at("$.locations[0].physicalLocation.region.startLine").alias("start_line"),
+        at("$.relatedLocations[0].location.message.text").alias("related"), at("$.relatedLocations[0].location.physicalLocation.region.byteLength").alias("bytes"), F.get_json_object("r", "$.helpUri").alias("help"),
+    )
+
+
+@query(
+    "k3_markdown_document",
+    f"""{FIND}, t AS (SELECT *, {TIER} AS tier, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rk, upper(severity[1]) || severity[2:] AS sev FROM findings),
+m AS (SELECT rk, ord, tier, '### [' || severity || '] ' || title || coalesce(' (' || cwe_id || ')', '') || chr(10) || chr(10) || '**Location:** `' || {LOC} || '`' || chr(10) || chr(10) || '**Description:** ' || description || chr(10) || chr(10) || '**Confidence:** ' || printf('%.1f', confidence_score * 100) || '%' || chr(10) || chr(10)
+ || '**Evidence Tier:** ' || upper(tier[1]) || tier[2:] || chr(10) || chr(10) || CASE WHEN code_snippet IS NULL THEN '' ELSE '**Code:**' || chr(10) || chr(10) || '```text' || chr(10) || code_snippet || chr(10) || '```' || chr(10) || chr(10) END || CASE WHEN len(sources) > 0 THEN '**Sources:** ' || array_to_string(sources, ', ') || chr(10) || chr(10) ELSE '' END AS part FROM t),
+c AS (SELECT rk, sev, count(*) FILTER (WHERE tier = 'verified') AS v, count(*) FILTER (WHERE tier = 'supported') AS s, count(*) FILTER (WHERE tier = 'unverified') AS u, count(*) AS n FROM t GROUP BY ALL)
+SELECT 2 AS section, rk AS rank, 0 AS ord, '| **' || sev || '** | ' || v || ' | ' || s || ' | ' || u || ' | ' || n || ' |' AS part FROM c
+UNION ALL SELECT 3, 0, 0, chr(10) || '**Totals:** ' || sum(v) || ' verified | ' || sum(s) || ' supported | ' || sum(u) || ' unverified' || chr(10) FROM c
+UNION ALL SELECT 4, rk, -1, '## ' || sev || ' Findings (' || n || ')' || chr(10) FROM c UNION ALL SELECT 4, rk, ord, part FROM m UNION ALL SELECT 5, 0, ord, part FROM m WHERE tier = 'unverified'""",
+)
 def k3(spark, sf):
-    return writers.markdown_rows(view(spark, sf, "findings"))
+    f = view(spark, sf, "findings")
+    return reports.markdown_document(f, "p", "today").filter("section BETWEEN 2 AND 5 AND NOT (section = 5 AND ord < 0)")
+
+
+@query(
+    "k4_html_rows",
+    f"{FIND} SELECT ord, '<strong>Verification:</strong> ' || verification_status AS verification, CASE WHEN cwe_id IS NULL THEN 0 ELSE 1 END + CASE WHEN verification_status IS NULL THEN 0 ELSE 1 END + CASE WHEN verification_notes IS NULL THEN 0 ELSE 1 END AS n FROM findings",
+)
+def k4(spark, sf):
+    f = view(spark, sf, "findings")
+    rows = reports.metadata_rows(f)
+    return f.select("ord", F.try_element_at(F.filter(rows, lambda x: x.startswith("<strong>Verification:")), F.lit(1)).alias("verification"), F.size(rows).alias("n"))
 
 
 @query("u5_rule_difference", f"{FIND} SELECT DISTINCT cwe_id AS rule FROM findings WHERE cwe_id IS NOT NULL AND cwe_id NOT IN ('CWE-79', 'CWE-89')")

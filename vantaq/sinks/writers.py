@@ -1,14 +1,10 @@
-"""Reports and stores: JSON, SARIF, Markdown, HTML, runs."""
+"""Rows and runs; ``reports`` has whole documents, ``stores`` what a scan remembers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..schema import SEVERITIES
-
-LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 
 
 def sarif_level(severity: Column) -> Column:
@@ -20,32 +16,10 @@ def json_lines(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in findings.columns if c != "ord"])).alias("value"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """One SARIF result per finding."""
-    place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line_number", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
-    return findings.select(F.to_json(F.struct(F.col("id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
-
-
-def write_sarif(findings: DataFrame, path: str) -> None:
-    """A SARIF document as a directory of parts: a head, the results (as many parts as there are partitions), and a foot; nothing passes through the driver."""
-    sarif_results(findings).write.mode("overwrite").text(f"{path}/results")
-
-
 def write_json(findings: DataFrame, path: str) -> None:
     json_lines(findings).write.mode("overwrite").text(path)
 
 
 def write_run(findings: DataFrame, path: str, run_id: int) -> None:
+    """A run that ``readers.prior_runs`` reads."""
     findings.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-
-
-def markdown_rows(findings: DataFrame) -> DataFrame:
-    """One Markdown section per finding, with the keys to sort them by."""
-    rank = F.element_at(F.create_map(*[F.lit(x) for k, s in enumerate(SEVERITIES) for x in (s, k)]), F.col("severity"))
-    body = F.concat(F.lit("### "), F.col("title"), F.lit("\n\n- severity: "), F.col("severity"), F.lit("\n- location: "), text.location(F.col("file_path"), F.col("line_number")), F.lit("\n- confidence: "), F.round(F.col("confidence_score") * 100, 0).cast("int").cast("string"), F.lit("%\n"))
-    return findings.select(rank.alias("rank"), "ord", body.alias("section"))
-
-
-def html_rows(findings: DataFrame) -> DataFrame:
-    row = F.concat(F.lit("<tr class='"), F.col("severity"), F.lit("'><td>"), text.escape_html(F.col("title")), F.lit("</td><td>"), text.escape_html(text.location(F.col("file_path"), F.col("line_number"))), F.lit("</td></tr>"))
-    return findings.select("ord", row.alias("row"))
