@@ -270,8 +270,16 @@ def test_members_fail_and_recover_alone(spark, tmp_path):
     raw[len(raw) // 2] ^= 255
     file.write_bytes(bytes(raw))
     rows = [r for b in reader.read(part) for r in zip(*(c.to_pylist() for c in b.columns))]
-    assert len(rows) == 20 and sum(r[3] is not None for r in rows) == 1 and [r[0] for r in rows if r[3] is None] == [k for k in whole if k in [r[0] for r in rows]]
-    file.write_bytes(bytes(raw[: len(raw) // 2] + bytes([raw[len(raw) // 2] ^ 255]) + raw[len(raw) // 2 + 1 :]))
+    assert len(rows) == 20 and sum(r[3] is not None for r in rows) == 1
+    assert all(r[0] == k or (r[3] is not None and r[0] is None) for r, k in zip(rows, whole))
+    body = file.read_bytes().index(raw[4:20], 200) + 16 + media._MEMBER.size + media._CHECK.size + 3  # of some member
+    raw[len(raw) // 2] ^= 255
+    raw[body] ^= 255
+    file.write_bytes(bytes(raw))
+    rows = [r for b in reader.read(part) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert [r[0] for r in rows] == whole and [r[2] is None for r in rows] == [r[3] is not None for r in rows] and sum(r[2] is None for r in rows) == 1
+    raw[body] ^= 255
+    file.write_bytes(bytes(raw))
 
     class Flaky(media.Reader):
         tries = 0
@@ -286,6 +294,17 @@ def test_members_fail_and_recover_alone(spark, tmp_path):
     rows = [r for b in flaky.read(part) for r in zip(*(c.to_pylist() for c in b.columns))]
     assert [r[0] for r in rows] == whole and all(r[3] is None for r in rows)
 
+    class Lost(media.Reader):
+        tries = 0
+
+        def find(self, f, sync, start, end):
+            Lost.tries += 1
+            if Lost.tries % 2:
+                raise OSError("lost")
+            return media.Reader.find(f, sync, start, end)
+
+    assert [r[0] for b in Lost(f"file://{tmp_path}/a", 1 << 30).read(part) for r in zip(*(c.to_pylist() for c in b.columns))] == whole
+
 
 GLOBS = st.lists(st.text(alphabet="ab*?", min_size=1, max_size=6).filter(lambda p: p.strip("*")), min_size=1, max_size=30)
 
@@ -408,4 +427,5 @@ def test_media_query_is_what_the_text_says(spark):
         raw = (r.text or "").encode()
         payload = media.pad(raw).tobytes()
         g = got[r.doc_id]
+        assert (g.media_bytes, g.media_sha256, g.feature) == (len(stored := media.encode(media.pad(raw))), hashlib.sha256(stored).hexdigest(), media.feature(media.pad(raw)))
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) and g.error is None

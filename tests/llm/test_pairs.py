@@ -347,3 +347,35 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in four.collect()) == clean and len(clean) < len(want)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in packed}) == [d for d, _ in clean]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n_removed int, keys string"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_at_the_edges(spark, stage):
+    """Empty tables, repeated and missing doc_ids, nulls everywhere, a very long text, columns that operators use themselves."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghilmnorstu") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    whole, long_text = text(60), text(30_000)
+    rows = [(1, whole, "en", "s", 5, "x", 1, "y"), (1, "zz " + whole, "en", "s", 5, "x", 1, "y"), (1, whole, "en", "a", 5, "x", 1, "y"), (None, text(20), None, None, None, None, None, None), (2, None, None, None, None, None, None, None), (3, "", "de", "s", 0, None, None, None), (4, long_text, "en", "s", len(long_text), None, None, None), (5, text(40), "en", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    name, call = corpus_pipeline.STAGES[stage]
+    empty = call(spark, df.limit(0), "/root/testdata/sf0.001")
+    assert empty.count() == 0
+    out = call(spark, df, "/root/testdata/sf0.001")
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    once = [(False, k) for k in (1, 2, 3, 4, 5)] + [(True, 0)]
+    if stage < 4:
+        assert out.columns == df.columns == empty.columns
+    want = {
+        "language_id": [(False, 1), (False, 1), (False, 1), (False, 4), (False, 5), (True, 0)],
+        "ngram_jaccard_join": once,
+        "suffix_array_dedup": sorted((r[0] is None, r[0] or 0) for r in rows),
+        "benchmark_decontamination": sorted((r[0] is None, r[0] or 0) for r in rows),
+    }
+    assert got == want[name] if stage < 4 else sorted(set(got)) == sorted(set((r[0] is None, r[0] or 0) for r in rows))
+    if name == "ngram_jaccard_join":
+        assert [(r.text, r.source) for r in out.filter("doc_id = 1").collect()] == [(whole, "a") if whole < "zz " + whole else ("zz " + whole, "s")]

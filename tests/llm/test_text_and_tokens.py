@@ -158,3 +158,14 @@ def test_packing_end_to_end(spark):
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=key) == sorted(want, key=key)
     assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_token_counts_end_to_end(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rows = [(i, t, "x") for i, t in enumerate(texts(60, 3))] + [(None, "no id", "x"), (3, "again", "x"), (900, "=-" * 40_000, "x")]
+    out = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), path, 20).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 20) for i, t, _ in rows]
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+    assert tokencount.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0

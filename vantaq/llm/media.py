@@ -5,12 +5,13 @@ other to archive files, each led by the file's own sync marker and a checked hea
 byte ranges over the archives of a directory; a range yields the members whose marker starts in it and finds
 the first by its marker, so archives need no index. Payloads stream as Arrow batches. A member that
 can't be read or fails its checksum is read again at its offset, from a fresh handle; after ``RETRIES`` it is a row
-with an error and no bytes, and the others go on. Only archives that a committed write listed are
+with an error and no bytes (but its key, where its header is whole), and the others go on. What is read between members is tried as often. Only archives that a committed write listed are
 read, so attempts that were lost leave nothing behind.
 
 Payloads are stored as 8-bit grey PNG images of 64 samples a row.
 
-Cases: a null payload is empty; an empty directory has no rows; members may repeat; a null key stays null.
+Cases: a null payload is empty; an empty directory and an empty table have no rows; members may repeat, no ties arise; a null key stays
+null; a very long payload is one member, held whole while it is read; other columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -95,29 +96,38 @@ class Reader(DataSourceReader):
         if rows:
             yield _rows(rows)
 
+    def tried(self, name: str, f, do):
+        """What ``do`` reads, and the file: up to RETRIES times, from a fresh handle after a failure."""
+        for attempt in range(RETRIES):
+            try:
+                if f is None:
+                    f = self.open(name)
+                return do(f), f
+            except (OSError, ValueError) as e:
+                failure, f = e, None
+                if attempt + 1 < RETRIES:
+                    time.sleep(0.05 * 4**attempt)
+        raise failure
+
     def members(self, part: Range) -> Iterator[tuple]:
-        f = self.open(part.path)
-        size = f.size()
-        f.seek(0)
-        lead = f.read(len(MAGIC) + 16)
+        def head(f) -> tuple[int, bytes]:
+            f.seek(0)
+            return f.size(), f.read(len(MAGIC) + 16)
+
+        (size, lead), f = self.tried(part.path, None, head)
         if lead[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{part.path} is not an archive")
-        sync = lead[len(MAGIC) :]
-        at = self.find(f, sync, max(part.start, len(lead)), min(part.end, size))
+        sync, end = lead[len(MAGIC) :], min(part.end, size)
+        at, f = self.tried(part.path, f, lambda f: self.find(f, sync, max(part.start, len(lead)), end))
         while at is not None and at < part.end:
-            row, after = None, None
-            for attempt in range(RETRIES):
-                try:
-                    if attempt:
-                        time.sleep(0.05 * 4**attempt)
-                        f = self.open(part.path)
-                    row, after = self.member(f, sync, at)
-                    break
-                except (OSError, ValueError) as e:
-                    row = (None, None, None, f"{part.path} at {at}: {e}")
-                    after = getattr(e, "after", None)
+            try:
+                (row, after), f = self.tried(part.path, f, lambda f: self.member(f, sync, at))
+            except (OSError, ValueError) as e:
+                f = None
+                key, carried = getattr(e, "known", (None, None))
+                row, after = (key, carried, None, f"{part.path} at {at}: {e}"), getattr(e, "after", at + 1)
             yield row
-            at = self.find(f, sync, after if after is not None else at + 1, min(part.end, size))
+            at, f = self.tried(part.path, f, lambda f: self.find(f, sync, after, end))
 
     @staticmethod
     def find(f, sync: bytes, start: int, end: int) -> int | None:
@@ -144,7 +154,7 @@ class Reader(DataSourceReader):
         media = f.read(size)
         if len(media) != size or zlib.crc32(media) != crc:
             error = ValueError("a broken member")
-            error.after = at + len(head) + size
+            error.after, error.known = at + len(head) + size, (key if has else None, carried)
             raise error
         return (key if has else None, carried, media, None), at + len(head) + size
 
@@ -287,7 +297,7 @@ def feature(samples: np.ndarray) -> str:
 def store(df: DataFrame, path: str) -> None:
     """df: key, payload. Writes archives to a directory."""
     df.sparkSession.dataSource.register(MediaArchive)
-    df.select(F.col("key").cast("long"), F.col("payload").cast("binary")).write.format("media_archive").mode("append").save(path)
+    df.select(F.col("key").cast("long").alias("key"), F.col("payload").cast("binary").alias("payload")).write.format("media_archive").mode("append").save(path)
 
 
 def load(spark: SparkSession, path: str, split: int = 8 << 20) -> DataFrame:

@@ -6,12 +6,14 @@ the state before it; the transitions into new pieces are marked. Pieces go throu
 whose transitions carry emitted-token counts; the total of a piece, seen before, is kept by its hash,
 so that frequent pieces run through the machine once per worker.
 
-Cases: a null or empty text has 0 bytes and 0 tokens; text equal to a special token counts as one
-token, as the library has it by default; texts of any length are handled whole.
+Cases: a null or empty text has 0 bytes and 0 tokens; text equal to a special token of the tokenizer's file counts as one
+token, as the library has it by default; texts of any length are handled whole; repeated rows are counted each, rows without doc_id
+too, no ties arise; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +31,12 @@ KNOWN_PIECES = 800_000
 
 
 class Counter:
-    def __init__(self, path: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> None:
-        self.machine, self.splitter, self.special = bpe.Automaton(path), bpe.Splitter(spaced=True), special
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        # Longer ones first, as the library prefers them where several begin.
+        self.special = sorted((t["content"] for t in added), key=lambda x: (-len(x), x))
+        self.machine, self.splitter = bpe.Automaton(path), bpe.Splitter(spaced=True)
         self.known = ts.Table(16)
 
     def texts(self, values: pa.Array) -> np.ndarray:
@@ -95,4 +101,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
         size = np.asarray(pa.compute.binary_length(texts).fill_null(0)).astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(per_batch(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -9,7 +9,9 @@ A URL's canonical form is ``.host`` + a mark that no byte can be + ``path``, so
 subdomains is the glob ``*.host<mark>path*``. The longest matching rule decides; between rules of equal length
 allow wins. URLs that no rule matches are judged by glob patterns over the host (block), and are allowed otherwise.
 
-Cases: a null URL, or one without ``://``, has an empty host and path, which no rule with a path matches; an empty table gives no rows.
+Cases: a null URL, or one without ``://``, has an empty host and path, which no rule with a path matches; very long URLs are
+run whole; repeated rows are judged each; of rules that fit the longest decides, of equally long ones the allowing; an empty table gives no
+rows; other columns stay, but for host, path, rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
