@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantaq import fixtures, queries
+from vantaq import catalog, fixtures
 from vantaq.operators import evaluation, findings, history, planning, retrieval
 from vantaq.sources import readers
 
@@ -48,9 +48,9 @@ def test_whole_cross_file_queries_against_brute_force(spark, tmp_path):
     f = fixtures.view(spark, str(tmp_path), "findings").select("ord", "file_path", "cwe_id", "severity", "sources").collect()
     alike = lambda a, b: a.file_path != b.file_path and ((a.cwe_id is not None and a.cwe_id == b.cwe_id) or (a.severity == b.severity and bool(set(a.sources) & set(b.sources))))
     pairs = sorted((a.ord, b.ord) for a in f for b in f if alike(a, b))
-    whole = queries.QUERIES["j3_cross_file_pairs_whole"](spark, str(tmp_path)).collect()
+    whole = catalog.QUERIES["j3_cross_file_pairs_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.ord, r.other) for r in whole) == [p for p in pairs if p[0] % 20 == 0]
-    counts = {r.ord: r.n for r in queries.QUERIES["j3_cross_file_counts_whole"](spark, str(tmp_path)).collect()}
+    counts = {r.ord: r.n for r in catalog.QUERIES["j3_cross_file_counts_whole"](spark, str(tmp_path)).collect()}
     assert counts == dict(Counter(a for a, _ in pairs)) and len(counts) > 200
 
 
@@ -80,11 +80,11 @@ def test_whole_vector_searches_against_brute_force(spark, tmp_path, monkeypatch)
         return [sum(n * (140 - df[t] + 0.5) / (df[t] + 0.5) * w.count(t) * 2.2 / (w.count(t) + 1.2) for t, n in asked.items()) for w in words]
 
     got: dict[int, list[int]] = {}
-    for r in queries.QUERIES["o2_cosine_top10_whole"](spark, str(tmp_path)).orderBy("query", "rank").collect():
+    for r in catalog.QUERIES["o2_cosine_top10_whole"](spark, str(tmp_path)).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append(r.doc)
     assert got == {q: top(cosine(q), 10) for q in range(0, 140, 20)}
     fused: dict[int, dict[int, float]] = {}
-    for r in queries.QUERIES["w7_rank_fusion_whole"](spark, str(tmp_path)).collect():
+    for r in catalog.QUERIES["w7_rank_fusion_whole"](spark, str(tmp_path)).collect():
         fused.setdefault(r.query, {})[r.doc] = r.score
     for q in range(0, 140, 20):
         score = Counter()
@@ -159,6 +159,25 @@ def test_chunks(spark):
     assert got == [("a", 0, 1, 2, 12), ("a", 1, 3, 4, 12), ("a", 2, 5, 5, 6), ("c", 0, 1, 1, 51), ("c", 1, 2, 2, 2)]
 
 
+PYTHON = "import os\n\ndef one(x):\n    return x\n\nclass Two:\n    def a(self):\n        return 1\n\n    def b(self):\n        return '{'\n\ntail = 1\n"
+PHP = "<?php\nfunction one($x) {\n  if ($x) { return 1; }\n}\nclass Two\n{\n  public function a() { return '}'; }\n  function b() {\n    return 2;\n  }\n}\n"
+
+
+def test_function_spans():
+    assert planning.function_spans(PYTHON, "python") == [(2, 4), (5, 11), (6, 8), (9, 11)]
+    assert planning.function_spans(PHP, "php") == [(0, 4), (4, 11), (6, 7), (7, 10)]
+
+
+def test_chunks_keep_functions_whole(spark):
+    files = spark.createDataFrame([("a.py", PYTHON, "python"), ("b.php", PHP, "php"), ("c", PHP, None)], "path string, text string, language string")
+    got = [(r.path, r.start_line, r.end_line, r.n_bytes) for r in planning.chunks(files, limit=80).orderBy("path", "chunk").collect()]
+    assert [g[:3] for g in got if g[0] == "a.py"] == [("a.py", 1, 4), ("a.py", 5, 8), ("a.py", 9, 13)]
+    assert [g[:3] for g in got if g[0] == "b.php"] == [("b.php", 1, 4), ("b.php", 5, 7), ("b.php", 8, 11)]
+    assert sum(g[3] for g in got if g[0] == "b.php") == len(PHP) and sum(g[3] for g in got if g[0] == "c") == len(PHP)
+    whole = [(r.start_line, r.end_line) for r in planning.chunks(files.limit(1)).collect()]
+    assert whole == [(1, 13)]
+
+
 def test_no_chunk_of_a_long_text_is_dropped(spark):
     files = spark.createDataFrame([("a", "12345\n" * 60)], "path string, text string")
     got = sorted((r.chunk, r.start_line, r.end_line, r.n_bytes, r.past_most) for r in planning.chunks(files, limit=13).collect())
@@ -204,4 +223,4 @@ def test_entry_without_the_llm_subpackage(monkeypatch):
 
 @pytest.mark.parametrize("name", ["a25_oracle_scores", "w1_structural_dedup", "m2_refined_confidence", "m7_bm25_top10", "j25_call_graph_paths", "w12_chunks", "k1_json_rows"])
 def test_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

@@ -35,7 +35,7 @@ CALL_DEPTH = 2
 _CALL = re.compile(r"([^\W\d][\w:]*)\s*\(")
 _PIECE = re.compile(r"[()\[\]{},]|[^\s()\[\]{},]+")
 #: What a brace can hide in: a string, a comment; or a brace.
-_LEXEME = re.compile(r"(?P<quiet>'(?:\\.|[^'\\])*(?:'|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|(?://|#)[^\n]*|/\*.*?(?:\*/|\Z))|[{}]", re.S)
+BRACE = re.compile(r"(?P<quiet>'(?:\\.|[^'\\])*(?:'|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|(?://|#)[^\n]*|/\*.*?(?:\*/|\Z))|[{}]", re.S)
 
 
 class _Cursor:
@@ -121,7 +121,7 @@ def function_bodies(source: str) -> list[tuple[str, int, str]]:
         if name in out:
             continue
         depth, end = 0, len(source)
-        for m in _LEXEME.finditer(source, start):  # no further than the body's end
+        for m in BRACE.finditer(source, start):  # no further than the body's end
             if m["quiet"] is None:
                 depth += 1 if m[0] == "{" else -1
                 if not depth:
@@ -228,6 +228,11 @@ def unauthenticated(hook: Column) -> Column:
     return F.contains(hook, F.lit("wp_ajax_nopriv_")) | F.contains(hook, F.lit("admin_post_nopriv_"))
 
 
+def with_hooks(files: DataFrame, registered: DataFrame) -> DataFrame:
+    """files (path) with ``hooked``: whether a hook is registered in them. registered: path, once or more."""
+    return files.join(registered.select("path", F.lit(True).alias("hooked")).distinct(), "path", "left").withColumn("hooked", F.coalesce("hooked", F.lit(False)))
+
+
 def unprotected_hooks(files: DataFrame, patterns: list[str], primitives: list[str], depth: int = CALL_DEPTH) -> DataFrame:
     """path, hook, handler, line, unauthenticated: hooks whose handler is declared in their file and reaches none of the primitives, in its own body
     or in those of the functions it calls, ``depth`` levels down. Bodies and calls are tables; every level is an equi join."""

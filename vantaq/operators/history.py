@@ -120,3 +120,12 @@ def with_cve_evidence(findings: DataFrame, cves: DataFrame) -> DataFrame:
     """Adds cve_ids: the vulnerabilities of the finding's weakness. They are listed once per weakness, not per finding."""
     listed = cves.filter("cwe_id IS NOT NULL").groupBy("cwe_id").agg(F.array_sort(F.collect_set("cve_id")).alias("cve_ids"))
     return findings.join(listed, "cwe_id", "left")
+
+
+def with_cve_counts(findings: DataFrame, cves: DataFrame) -> DataFrame:
+    """Adds n_cves of the finding's weakness; ``cves_by_weakness`` is the table that a report looks them up in."""
+    return findings.join(cves_by_weakness(cves).select("cwe_id", F.size("cve_ids").alias("n_cves")), "cwe_id", "left")
+
+
+def cves_by_weakness(cves: DataFrame) -> DataFrame:
+    return cves.filter("cwe_id IS NOT NULL").groupBy("cwe_id").agg(F.array_sort(F.collect_set("cve_id")).alias("cve_ids"))

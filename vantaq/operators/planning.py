@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,10 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import SEVERITIES
+from .code import BRACE
 
 #: What marks a file as of high risk.
 HIGH_RISK = ("auth", "login", "crypto", "password", "admin")
 CHUNK_BYTES, MAX_CHUNKS = 24_000, 24
+#: What opens a block of a function or class, and what does not.
+_DECLARES = re.compile(r"\b(?:function|class|fn|func|interface|trait|impl)\b|\w\s*\([^()]*\)[^=]*$")
+_CONTROL = re.compile(r"(?:if|for|foreach|while|switch|catch|else|do|try|match|with|return)\b")
 
 
 def histogram(findings: DataFrame) -> DataFrame:
@@ -90,28 +96,110 @@ def neighbours(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.concat_ws("\n", F.lag("text").over(order), F.col("text"), F.lead("text").over(order)).alias("snippet"))
 
 
+def function_spans(source: str, language: str) -> list[tuple[int, int]]:
+    """Lines (from 0, the end not included) of functions and classes, nested ones too, read lexically: indented blocks of Python's def and
+    class, brace blocks that a declaration opens elsewhere."""
+    lines = source.split("\n")
+    out: list[tuple[int, int]] = []
+    if language == "python":
+        indent = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
+        for k, x in enumerate(lines):
+            if x.lstrip().startswith(("def ", "async def ", "class ")):
+                end = k + 1
+                for j in range(k + 1, len(lines)):
+                    if indent[j] is not None:
+                        if indent[j] <= indent[k]:
+                            break
+                        end = j + 1
+                out.append((k, end))
+        return out
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    line_of = lambda place: bisect.bisect_right(starts, place) - 1
+    opened: list[tuple[int, bool]] = []
+    for m in BRACE.finditer(source):
+        if m["quiet"] is not None:
+            continue
+        if m[0] == "{":
+            begin = max(source.rfind(c, 0, m.start()) for c in "{};") + 1
+            head = source[begin : m.start()]
+            first = begin + len(head) - len(head.lstrip()) if head.strip() else m.start()
+            opened.append((line_of(first), bool(_DECLARES.search(head)) and not _CONTROL.match(head.lstrip())))
+        elif opened:
+            start, declares = opened.pop()
+            if declares:
+                out.append((start, line_of(m.start()) + 1))
+    return sorted(out)
+
+
+def _outer(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def span_chunks(source: str, language: str | None, limit: int) -> list[tuple[int, int]]:
+    """Chunks (first line, end) of at most ``limit`` bytes: neighbouring functions and classes together as far as they fit, a class that doesn't by
+    its methods, what is still too long at lines. A file without any is cut at lines; a longer line is a chunk of its own."""
+    lines = source.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    at = [0]
+    for x in lines:
+        at.append(at[-1] + len(x.encode()) + 1)
+    size = lambda a, b: at[b] - at[a]
+    every = [(a, min(b, len(lines))) for a, b in function_spans(source, language)] if language else []
+    units: list[tuple[int, int]] = []
+    for a, b in _outer(every):
+        inner = _outer([s for s in every if s[0] > a and s[1] <= b]) if size(a, b) > limit else []
+        units += inner or [(a, b)]
+    # What stands before a unit goes with it, what stands after the last with that; so no line is left out.
+    ends = [b for _, b in _outer(units)][:-1] + [len(lines)]
+    out: list[tuple[int, int]] = []
+    group: tuple[int, int] | None = None
+    for a, b in zip([0, *ends[:-1]], ends):
+        if a == b:
+            continue
+        if group and size(group[0], b) <= limit:
+            group = group[0], b
+            continue
+        if group:
+            out.append(group)
+        group = None
+        if size(a, b) <= limit:
+            group = a, b
+            continue
+        first = a
+        for k in range(a + 1, b):
+            if size(first, k + 1) > limit:
+                out.append((first, k))
+                first = k
+        out.append((first, b))
+    return [*out, group] if group else out
+
+
 def chunks(files: DataFrame, limit: int = CHUNK_BYTES, most: int = MAX_CHUNKS) -> DataFrame:
-    """path, text -> path, chunk, start_line, end_line, n_bytes, past_most: whole lines up to ``limit`` bytes a chunk; a longer line is a chunk of its own.
-    All chunks are kept; past_most marks those beyond the ``most`` that the reference sends to a model."""
+    """path, text (and language) -> path, chunk, start_line, end_line, n_bytes, past_most: whole functions and classes packed to at most ``limit``
+    bytes a chunk, as ``span_chunks`` does; files without a known language by their lines. All chunks are kept; past_most marks those beyond the
+    ``most`` that are sent to a model."""
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, held, k, size = 1, 0, 0, 0
-                rows = (content or "").splitlines(keepends=True)
-                for at, line in enumerate(rows, 1):
-                    size = len(line.encode())
-                    if held and held + size > limit:
-                        out.append((path, k, first, at - 1, held))
-                        first, held, k = at, 0, k + 1
-                    held += size
-                if held:
-                    out.append((path, k, first, len(rows), held))
+            for path, content, language in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                lines = (content or "").split("\n")
+                at = [0]
+                for k, x in enumerate(lines):
+                    at.append(at[-1] + len(x.encode()) + (k + 1 < len(lines)))
+                out += [(path, k, a + 1, b, at[b] - at[a]) for k, (a, b) in enumerate(span_chunks(content or "", language, limit))]
             made = [pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*made, pa.array([r[1] >= most for r in out], pa.bool_())], names=["path", "chunk", "start_line", "end_line", "n_bytes", "past_most"])
 
-    return files.select("path", "text").mapInArrow(cut, "path string, chunk long, start_line long, end_line long, n_bytes long, past_most boolean")
+    language = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "text", language.alias("language")).mapInArrow(cut, "path string, chunk long, start_line long, end_line long, n_bytes long, past_most boolean")
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:

@@ -66,23 +66,59 @@ def _score(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence_score", score)
 
 
-def scan(spark: SparkSession, inputs: Inputs, profile: str = "core", skip: tuple[str, ...] = (), snapshot: str | None = None) -> Outputs:
+RELATED = 20
+
+
+def _cross(d: DataFrame) -> DataFrame:
+    """Cross references without pairs: the number of partners of each finding, and up to RELATED of those with its weakness in other files, which
+    are of the first of each file."""
+    counts = ops.cross_file_counts(d).filter("n > 0").withColumnRenamed("n", "n_related")
+    firsts = d.filter("cwe_id IS NOT NULL").groupBy("cwe_id", "file_path").agg(F.min(F.struct("ord", "id")).alias("f"))
+    some = ops.top_k(firsts.select("cwe_id", "file_path", "f.ord", "f.id"), ["cwe_id"], RELATED + 1, "ord").groupBy("cwe_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "file_path"))).alias("_some"))
+    others = F.slice(F.transform(F.filter("_some", lambda x: x["file_path"] != F.col("file_path")), lambda x: x["id"]), 1, RELATED)
+    out = d.join(counts, "ord", "left").join(some, "cwe_id", "left")
+    return out.withColumn("related_finding_ids", F.when(F.col("n_related") > 0, F.coalesce(others, F.array().cast("array<string>")))).drop("_some")
+
+
+def _snapshots(spark: SparkSession, root: str) -> dict[str, str]:
+    """Phases that have a whole snapshot, and where."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return {}
+    names = [str(s.getPath().getName()) for s in fs.listStatus(folder)]
+    return {n.split("-", 1)[1]: f"{root}/{n}" for n in names if n.startswith("phase=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))}
+
+
+def scan(spark: SparkSession, inputs: Inputs, profile: str = "core", skip: tuple[str, ...] = (), snapshot: str | None = None, resume: bool = False, stop_at: int | None = None) -> Outputs:
     """One lazy chain of the data phases that the profile has. With ``snapshot`` the findings are written after each
-    phase and read again, which cuts the lineage and lets a scan resume."""
+    phase and read again, which cuts the lineage; ``resume`` starts from the last whole snapshot there (a broken one is taken for none).
+    With ``stop_at`` a scan whose medium and worse findings exceed that number after detection goes to the report at once."""
     health: dict[str, str] = {}
-    df = ops.structural_dedup(merged(inputs.detectors)).drop("island_size")
     steps: dict[str, Callable[[DataFrame], DataFrame]] = {
-        "cross_file_analysis": lambda d: ops.with_chain_partners(ops.with_cross_references(d, ops.cross_file_pairs(d)), ops.chains(d)),
+        "cross_file_analysis": lambda d: ops.with_chain_partners(_cross(d), ops.chains(d)),
         "confidence_scoring": _score,
         "root_cause_dedup": lambda d: d.withColumn("root_id", ops.ids.root_cause(F.col("title"), F.col("file_path"), F.col("code_snippet"))),
-        "cve_bootstrap": lambda d: history.with_cve_evidence(d, inputs.cves) if inputs.cves is not None else d,
+        "cve_bootstrap": lambda d: history.with_cve_counts(d, inputs.cves) if inputs.cves is not None else d,
         "reporting": lambda d: ops.with_citation_verdict(ops.citations(d, inputs.files)) if inputs.files is not None else d,
     }
-    for k, phase in enumerate(effective(profile)):
-        if phase in skip:
+    phases = effective(profile)
+    done = _snapshots(spark, snapshot) if snapshot and resume else {}
+    last = max((phases.index(p) for p in done if p in phases), default=-1)
+    if last >= 0:
+        df = spark.read.parquet(done[phases[last]])
+    else:
+        df = ops.structural_dedup(merged(inputs.detectors)).drop("island_size")
+    early = stop_at is not None and planning.medium_or_worse(df, stop_at).first()["terminate"]
+    for k, phase in enumerate(phases):
+        if k <= last:
+            health[phase] = "resumed"
+        elif phase in skip:
             health[phase] = "skipped"
-            continue
-        if phase in steps:
+        elif early and phase in steps and phase != "reporting":
+            health[phase] = "terminated"
+        elif phase in steps:
             df = steps[phase](df)
             if snapshot:
                 path = f"{snapshot}/phase={k:02d}-{phase}"

@@ -313,12 +313,20 @@ def j3n_whole(spark, sf):
     return findings.cross_file_counts(view(spark, sf, "findings")).filter("n > 0")
 
 
-@query("j4_attack_chains", f"{FIND}, p(kind, x, y) AS (VALUES {', '.join(f'({k!r},{a!r},{b!r}),({k!r},{b!r},{a!r})' for k, v in findings.CHAINS.items() for a, b in v)}), f AS (SELECT ord, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, substr(cwe_id, 5) AS c FROM findings), j AS (SELECT a.dir, p.kind, a.ord AS primary_, b.ord AS partner FROM f a JOIN p ON a.c = p.x JOIN f b ON b.dir = a.dir AND b.c = p.y AND b.ord > a.ord), r AS (SELECT *, row_number() OVER (PARTITION BY dir, kind ORDER BY primary_, partner) AS rn FROM j) SELECT dir, kind AS chain_type, primary_ AS \"primary\", partner FROM r WHERE rn = 1")
+CHAIN_SQL = f"""{FIND}, p(kind, x, y) AS (VALUES {', '.join(f'({k!r},{a!r},{b!r}),({k!r},{b!r},{a!r})' for k, v in findings.CHAINS.items() for a, b in v)}), f AS (SELECT ord, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir, substr(cwe_id, 5) AS c FROM findings),
+j AS (SELECT a.dir, p.kind, a.ord AS primary_, b.ord AS partner FROM f a JOIN p ON a.c = p.x JOIN f b ON b.dir = a.dir AND b.c = p.y AND b.ord > a.ord), r AS (SELECT *, row_number() OVER (PARTITION BY dir, kind ORDER BY primary_, partner) AS rn FROM j),
+ch AS (SELECT dir, kind AS chain_type, primary_ AS "primary", partner FROM r WHERE rn = 1)"""
+
+
+@query("j4_attack_chains", f"{CHAIN_SQL} SELECT * FROM ch")
 def j4(spark, sf):
     return findings.chains(view(spark, sf, "findings"))
 
 
-@query("v12_chain_partners")
+@query(
+    "v12_chain_partners",
+    f"{CHAIN_SQL}, b AS (SELECT chain_type, dir, \"primary\" AS ord, partner AS other FROM ch UNION ALL SELECT chain_type, dir, partner, \"primary\" FROM ch), pp AS (SELECT b.ord, string_agg(f.id, ',' ORDER BY chain_type, f.id) AS partners FROM b JOIN findings f ON f.ord = b.other GROUP BY 1) SELECT findings.ord, partners FROM findings LEFT JOIN pp USING (ord)",
+)
 def v12(spark, sf):
     f = view(spark, sf, "findings")
     return findings.with_chain_partners(f, findings.chains(f)).select("ord", joined("chain_partners").alias("partners"))
@@ -459,7 +467,10 @@ def w7_whole(spark, sf):
     return retrieval.fused([nearest_whole(spark, sf, 20), retrieval.ranked(scored, 20)], 10).select("query", "doc", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("f12_keywords", None)
+@query(
+    "f12_keywords",
+    f"SELECT item_id, array_to_string(list_filter(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: strlen(x) > 2 AND NOT list_contains([{', '.join(repr(w) for w in text.CODE_STOP_WORDS)}], x) AND NOT regexp_full_match(x, '\\p{{N}}+')), ' ') AS keywords FROM benchmark",
+)
 def f12(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", text.keywords(F.col("text")).alias("keywords"))
 
@@ -623,15 +634,34 @@ def s3(spark, sf):
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Scanner reports made of the findings view: one JSON text for each 50 rows."""
+    """Scanner reports made of the findings view, one JSON text for each 50 rows: rules with and without a severity in their names and a
+    prefix, labels of all kinds, several results of one place with different ones."""
     f = view(spark, sf, "findings")
-    row = F.struct(F.concat(F.lit("rules.high."), F.coalesce("cwe_id", F.lit("none"))).alias("check_id"), F.col("file_path").alias("path"), F.struct((F.coalesce("line_number", F.lit(0)) % 10).alias("line")).alias("start"), F.struct(F.col("title").alias("message"), F.when(F.col("ord") % 2 == 0, "ERROR").otherwise("INFO").alias("severity"), F.struct(F.array(F.col("cwe_id")).alias("cwe")).alias("metadata")).alias("extra"))
-    return f.groupBy(F.floor(F.col("ord") / 50).alias("k")).agg(F.to_json(F.struct(F.collect_list(row).alias("results"))).alias("json")).select("json")
+    rule = F.concat(F.when(F.col("ord") % 3 == 0, "tmp1-").otherwise(""), F.when(F.col("user") % 3 == 0, "rules.high.").otherwise("rules.plain."), F.coalesce("cwe_id", F.lit("none")))
+    label = F.when(F.col("ord") % 4 == 0, "ERROR").when(F.col("ord") % 4 == 1, "WARNING").when(F.col("ord") % 4 == 2, "INFO").otherwise("ODD")
+    f = f.withColumn("user", F.regexp_extract("file_path", r"(\d+)\.py$", 1).cast("long"))
+    row = F.struct("ord", rule.alias("check_id"), F.col("file_path").alias("path"), F.struct((F.coalesce("line_number", F.lit(0)) % 10).alias("line")).alias("start"), F.struct(F.col("title").alias("message"), label.alias("severity"), F.struct(F.array(F.col("cwe_id")).alias("cwe")).alias("metadata")).alias("extra"))
+    return f.groupBy(F.floor(F.col("ord") / 50).alias("ord")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("results"))).alias("json"))
+
 
+SEMGREP = f"""{FIND}, s AS (SELECT ord, file_path AS path, CAST(coalesce(line_number, 0) % 10 AS INT) AS line, title, cwe_id, TRY_CAST(regexp_extract(file_path, '(\\d+)[.]py$', 1) AS BIGINT) AS u, ord % 4 AS k FROM findings),
+l AS (SELECT *, CASE WHEN u % 3 = 0 THEN 'rules.high.' ELSE 'rules.plain.' END || coalesce(cwe_id, 'none') AS check_id, CASE k WHEN 0 THEN 'high' WHEN 1 THEN CASE WHEN u % 3 = 0 THEN 'high' ELSE 'medium' END WHEN 2 THEN CASE WHEN u % 3 = 0 THEN 'high' ELSE 'low' END ELSE CASE WHEN u % 3 = 0 THEN 'high' ELSE 'info' END END AS sev FROM s),
+g AS (SELECT check_id, path, line, count(*) AS n, arg_min(title, ord) AS message, arg_min(sev, ord) AS severity, min(cwe_id) AS cwe_id FROM l GROUP BY 1, 2, 3)"""
 
-@query("a12_semgrep_groups", f"{FIND} SELECT 'rules.high.' || coalesce(cwe_id, 'none') AS check_id, file_path AS path, CAST(coalesce(line_number, 0) % 10 AS INT) AS line, count(*) AS n, min(title) AS message, 'high' AS severity, min(cwe_id) AS cwe_id FROM findings GROUP BY 1, 2, 3")
+
+@query("a12_semgrep_groups", f"{SEMGREP} SELECT check_id, path, line, n, message, severity, cwe_id FROM g")
 def a12(spark, sf):
-    return readers.semgrep(_reports(spark, sf))
+    return readers.semgrep(_reports(spark, sf), stems=["tmp1"]).drop("end_line")
+
+
+@query(
+    "f33_semgrep_texts",
+    f"""{SEMGREP} SELECT check_id AS title, path AS file_path, line AS line_number, CASE WHEN n = 1 THEN message ELSE message || ' (and ' || (n - 1) || CASE WHEN n = 2 THEN ' other location)' ELSE ' other locations)' END END AS description,
+CASE WHEN n = 1 THEN '' ELSE 'Found in ' || n || ' files:' || chr(10) || array_to_string(list_transform(range(n), lambda i: path || ':' || line), chr(10)) END AS code_snippet, CASE WHEN n > 1 THEN sha256(check_id || 'aggregated') END AS aggregated_id FROM g""",
+)
+def f33(spark, sf):
+    g = readers.semgrep_findings(readers.semgrep(_reports(spark, sf), stems=["tmp1"]))
+    return g.select("title", "file_path", "line_number", "description", "code_snippet", F.when(F.col("cross_file_references").isNotNull(), F.col("id")).alias("aggregated_id"))
 
 
 @query("k1_json_rows", f"{FIND} SELECT ord, id, title, severity, file_path, CAST(line_number AS STRING) AS line_number, array_to_string(sources, ',') AS sources FROM findings")
@@ -737,20 +767,37 @@ def f40(spark, sf):
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as source files."""
-    return spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    """Documents as PHP files: a hook, its handler, which calls run and b, and b, which checks a nonce in every third file."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("n"), (F.col("doc_id") % 3 == 0).alias("safe"))
+    source = F.concat(F.lit("<?php\nadd_action('wp_ajax_nopriv_save', 'a"), "n", F.lit("');\nfunction a"), "n", F.lit("($x) { $s = '}'; // }\n run(b"), "n", F.lit("($x), strcpy($y)); }\nfunction b"), "n", F.lit("($y): int { "), F.when(F.col("safe"), "check_nonce($y); ").otherwise(""), F.lit("return $y; }\n"))
+    return d.select(F.col("n").alias("path"), source.alias("text"))
+
+
+PHP = "WITH d AS (SELECT CAST(doc_id AS STRING) AS n, doc_id % 3 = 0 AS safe FROM documents)"
+CALLED = f"{PHP}, k AS (SELECT n AS path, unnest(['add_action', 'a' || n, 'run', 'b' || n, 'strcpy'] || CASE WHEN safe THEN ['check_nonce'] ELSE [] END) AS callee, unnest([2, 1, 2, 1, 1] || CASE WHEN safe THEN [1] ELSE [] END) AS args FROM d), c AS (SELECT *, CASE callee WHEN 'strcpy' THEN 'memory' ELSE 'other' END AS category FROM k)"
 
 
-@query("f56_call_sites")
+@query("f56_call_sites", f"{CALLED} SELECT path, callee, CAST(args AS BIGINT) AS args, category FROM c")
 def f56(spark, sf):
     return code.calls(_sources(spark, sf)).select("path", "callee", "args", code.category(F.col("callee")).alias("category"))
 
 
-@query("a33_callee_groups")
+@query("a33_callee_groups", f"{CALLED} SELECT path, category, string_agg(callee, ',' ORDER BY callee) AS callees, count(*) AS n FROM c GROUP BY 1, 2")
 def a33(spark, sf):
     return code.abstraction(code.calls(_sources(spark, sf))).withColumn("callees", joined("callees"))
 
 
-@query("f58_function_bodies")
+@query("f58_function_bodies", f"{PHP} SELECT n AS path, 'a' || n AS name, CAST(3 AS BIGINT) AS line, CAST(length('{{ $s = ''}}''; // }}') + 1 + length(' run(b($x), strcpy($y)); }}') + length(n) AS INT) AS size FROM d UNION ALL SELECT n, 'b' || n, 5, CAST(length('{{ return $y; }}') + CASE WHEN safe THEN length('check_nonce($y); ') ELSE 0 END AS INT) FROM d")
 def f58(spark, sf):
     return code.functions(_sources(spark, sf)).select("path", "name", "line", F.length("body").alias("size"))
+
+
+@query("j11_unprotected_hooks", f"{PHP} SELECT n AS path, 'wp_ajax_nopriv_save' AS hook, 'a' || n AS handler, CAST(3 AS BIGINT) AS line, TRUE AS unauthenticated FROM d WHERE NOT safe")
+def j11(spark, sf):
+    return code.unprotected_hooks(_sources(spark, sf), [r"add_action\(\s*'(?P<hook>[^']+)'\s*,"], ["check_nonce"])
+
+
+@query("j12_hooked_files", f"{ctes('files')} SELECT ord, ord % 4 = 0 AS hooked FROM files")
+def j12(spark, sf):
+    f = view(spark, sf, "files").withColumn("path", F.concat_ws("/", "path", F.col("ord").cast("string")))
+    return code.with_hooks(f, f.filter("ord % 4 = 0").select("path")).select("ord", "hooked")
