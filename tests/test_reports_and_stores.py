@@ -139,3 +139,10 @@ def test_response_functions(spark):
 def test_global_ranks_are_a_numbering(spark):
     got = [r.n for r in planning.global_rank(spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000), ["k"], "n").orderBy("k").collect()]
     assert got == list(range(1, 1001))
+
+
+def test_traces_and_flows(spark, tmp_path):
+    for name, code in (("vuln_CWE-89_1.txt", "q(x)\ny"), ("benign_2.txt", "ok"), ("other.txt", "no"), ("vuln_x.md", "no")):
+        (tmp_path / name).write_text(code)
+    assert sorted(map(tuple, readers.labelled_traces(spark, str(tmp_path)).collect())) == [("ok", False, ""), ("q(x)\ny", True, "CWE-89")]
+    assert enrichment.execution_order(4, [(0, 2), (1, 2), (2, 3)]) == [1, 0, 2, 3] and enrichment.execution_order(2, [(0, 1), (1, 0)]) is None

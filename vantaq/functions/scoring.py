@@ -26,8 +26,16 @@ NEVER_SUBMIT = {
     "CWE-918": "ssrf.*dns.*callback|ssrf.*without.*oob",
 }
 #: Code words that support and contradict a weakness.
-SUPPORT = ("request", "param", "query", "input", "body", ".exec(", "eval", "system", "shell", "readfile", "read_file", "open(", ".read()")
-CONTRADICT = ("validate", "sanitize", "escape", "check", "verify", "preparedstatement", "parameterized", "bindparam", "placeholder", "requireauth", "isauthenticated", "checkauth", "authorized")
+SUPPORT = {
+    "user_input": ("request", "param", "query", "input", "body"),
+    "unsafe_sinks": (".exec(", "eval", "system", "shell"),
+    "direct_access": ("readFile", "read_file", "open(", ".read()"),
+}
+CONTRADICT = {
+    "validation": ("validate", "sanitize", "escape", "check", "verify"),
+    "safe_api": ("preparedStatement", "parameterized", "bindParam", "placeholder"),
+    "auth_check": ("requireAuth", "isAuthenticated", "checkAuth", "authorized"),
+}
 LOW_CONFIDENCE_SOURCES = ("bandit", "gosec")
 
 
@@ -70,7 +78,7 @@ def never_submit(title: Column, description: Column, cwe: Column) -> Column:
 def code_context(code: Column) -> Column:
     """1 if more words support than contradict, -1 the other way, else 0."""
     low = F.lower(code)
-    count = lambda names: sum((F.contains(low, F.lit(n)).cast("int") for n in names), F.lit(0))
+    count = lambda groups: sum((F.contains(low, F.lit(w.lower())).cast("int") for words in groups.values() for w in words), F.lit(0))
     return F.signum(count(SUPPORT) - count(CONTRADICT)).cast("int")
 
 

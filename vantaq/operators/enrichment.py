@@ -167,3 +167,51 @@ def tagged(findings: DataFrame, tier: Column) -> DataFrame:
 def adjusted(score: Column, by: Column) -> Column:
     """A confidence after a rationale's adjustment."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + by))
+
+
+def first_of_groups(findings: DataFrame, by: list[str]) -> DataFrame:
+    """The first finding (by ord) of each group, with the evidence of all of them, in order."""
+    row = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    g = findings.groupBy(*by).agg(F.min_by(row, "ord").alias("_first"), F.array_sort(F.collect_list(F.struct("ord", "evidence"))).alias("_all"))
+    every = F.flatten(F.transform("_all", lambda x: F.coalesce(x["evidence"], F.array().cast(findings.schema["evidence"].dataType))))
+    return g.select(*[(every if c == "evidence" else F.col(f"_first.`{c}`")).alias(c) for c in findings.columns])
+
+
+def agent_result(notes: Column, compile_path: Column, test_path: Column, turns: Column, tools: Column, log: Column, scaffold: Column) -> Column:
+    """struct(path, notes) of a finding after an agent's result: where its evidence is, and notes where there were none."""
+    worked = F.when(turns > 0, F.concat(turns.cast("string"), F.lit(" turns, "), tools.cast("string"), F.lit(" tools")))
+    return F.struct(F.coalesce(compile_path, test_path, worked).alias("path"), F.coalesce(notes, log, scaffold).alias("notes"))
+
+
+def agent_failure(notes: Column, error: Column, scaffold: Column) -> Column:
+    """struct(error, notes) after an agent failed."""
+    kept = F.when(scaffold.isNotNull() & notes.isNull(), scaffold).otherwise(F.concat(F.lit("Agent verification failed: "), error))
+    return F.struct(error.alias("error"), kept.alias("notes"))
+
+
+def slices(nodes: DataFrame) -> DataFrame:
+    """slice, first_line, last_line, lines (in order, each once) of the nodes of code slices. nodes: slice, line."""
+    return nodes.groupBy("slice").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+def with_context(findings_so_far: Column, more: Column) -> Column:
+    """Context strings of before, and those that are new."""
+    return F.array_union(findings_so_far, more)
+
+
+def execution_order(nodes: int, edges: list[tuple[int, int]]) -> list[int] | None:
+    """A topological order of an agent flow's steps, the last that became ready first; null for a cycle. A flow has a handful of steps, so
+    this runs on the driver."""
+    need = [0] * nodes
+    for _, b in edges:
+        need[b] += 1
+    ready, out = [k for k in range(nodes) if not need[k]], []
+    while ready:
+        k = ready.pop()
+        out.append(k)
+        for a, b in edges:
+            if a == k:
+                need[b] -= 1
+                if not need[b]:
+                    ready.append(b)
+    return out if len(out) == nodes else None

@@ -27,13 +27,13 @@ def structural_dedup(findings: DataFrame, gap: int = 2) -> DataFrame:
     order = Window.partitionBy("file_path", "cwe_id").orderBy(line, "ord")
     cut = F.coalesce((line - F.lag(line).over(order) > gap).cast("int"), F.lit(0))
     marked = findings.withColumn("_cut", cut).withColumn("_island", F.sum("_cut").over(order)).withColumn("_pos", F.row_number().over(order))
-    keys = ["file_path", "cwe_id", "_island"]
-    best = Window.partitionBy(*keys).orderBy(F.size("sources").desc(), F.desc("confidence_score"), "_pos")
-    whole = Window.partitionBy(*keys)
-    members = F.array_sort(F.collect_list(F.struct("_pos", "sources")).over(whole))
-    joined = F.array_distinct(F.flatten(F.transform(members, lambda m: m["sources"])))
-    out = marked.withColumn("_rank", F.row_number().over(best)).withColumn("island_size", F.count("*").over(whole)).withColumn("_joined", joined)
-    return out.filter("_rank = 1").withColumn("sources", F.when(F.col("island_size") > 1, F.col("_joined")).otherwise(F.col("sources"))).drop("_cut", "_island", "_pos", "_rank", "_joined")
+    # Islands are aggregated, so no window carries a whole island's sources in each row; the rows that are best come back as structs.
+    row = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    best = F.max_by(row, F.struct(F.size("sources"), "confidence_score", -F.col("_pos")))
+    islands = marked.groupBy("file_path", "cwe_id", "_island").agg(best.alias("_best"), F.count("*").alias("island_size"), F.array_sort(F.collect_list(F.struct("_pos", "sources"))).alias("_members"))
+    joined = F.array_distinct(F.flatten(F.transform("_members", lambda m: m["sources"])))
+    columns = [F.col(f"_best.`{c}`").alias(c) if c != "sources" else F.when(F.col("island_size") > 1, joined).otherwise(F.col("_best.sources")).alias(c) for c in findings.columns]
+    return islands.select(*columns, "island_size")
 
 
 def root_cause_groups(findings: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def m6(spark, sf):
 def _refine_sql() -> str:
     q = lambda s: s.replace("'", "''")
     hit = lambda table: " OR ".join(f"(cwe_id = '{c}' AND regexp_matches(code_snippet, '{q('|'.join(p))}'))" for c, p in table.items())
-    n = lambda names: " + ".join(f"CAST(contains(lower(code_snippet), '{q(x)}') AS INT)" for x in names)
+    n = lambda groups: " + ".join(f"CAST(contains(lower(code_snippet), '{q(x.lower())}') AS INT)" for words in groups.values() for x in words)
     has = lambda c, *p: "(" + " OR ".join(f"contains({c}, '{x}')" for x in p) + ")"
     path, note = "lower(file_path)", "verification_notes"
     wrong, sound = has(note, "false_positive", "False positive"), has(note, "sound", "validated")

@@ -298,3 +298,30 @@ def o12(spark, sf):
 
     c = view(spark, sf, "findings").groupBy("severity").agg(F.count("*").alias("n"))  # a row for each severity
     return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "severity")))
+
+
+@query("j20_first_of_groups", f"{FIND} SELECT file_path, min(ord) AS ord, string_agg(array_to_string(evidence, ','), ',' ORDER BY ord) AS evidence FROM findings GROUP BY 1")
+def j20(spark, sf):
+    return enrichment.first_of_groups(view(spark, sf, "findings"), ["file_path"]).select("file_path", "ord", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query(
+    "v8_agent_results",
+    f"{FIND} SELECT ord, CASE WHEN ord % 3 = 0 THEN 'bin/x' WHEN ord % 3 = 1 THEN 'test/y' WHEN ord % 4 > 0 THEN CAST(ord % 4 AS STRING) || ' turns, 2 tools' END AS path, coalesce(verification_notes, CASE WHEN ord % 2 = 0 THEN 'log' END, 'scaffold') AS notes, CASE WHEN verification_notes IS NULL THEN 'scaffold' ELSE 'Agent verification failed: lost' END AS failed_notes FROM findings",
+)
+def v8(spark, sf):
+    k = F.col("ord")
+    f = view(spark, sf, "findings")
+    done = enrichment.agent_result(F.col("verification_notes"), F.when(k % 3 == 0, "bin/x"), F.when(k % 3 == 1, "test/y"), k % 4, F.lit(2), F.when(k % 2 == 0, "log"), F.lit("scaffold"))
+    return f.select("ord", done.alias("d"), enrichment.agent_failure(F.col("verification_notes"), F.lit("lost"), F.lit("scaffold"))["notes"].alias("failed_notes")).select("ord", "d.*", "failed_notes")
+
+
+@query("o10_slices", f"{FIND} SELECT file_path AS slice, min(line_number) AS first_line, max(line_number) AS last_line, string_agg(DISTINCT line_number, ',' ORDER BY line_number) AS lines FROM findings WHERE line_number IS NOT NULL GROUP BY 1")
+def o10(spark, sf):
+    s = enrichment.slices(view(spark, sf, "findings").filter("line_number IS NOT NULL").select(F.col("file_path").alias("slice"), F.col("line_number").alias("line")))
+    return s.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
+@query("u8_contexts", f"{FIND} SELECT ord, CASE WHEN title = description THEN title ELSE title || ',' || description END AS context FROM findings")
+def u8(spark, sf):
+    return view(spark, sf, "findings").select("ord", F.array_join(enrichment.with_context(F.array("title"), F.array("description", "title")), ",").alias("context"))
