@@ -44,7 +44,7 @@ SEED = 16
 #: Bytes of text whose strings are sent on together.
 FLUSH_BYTES = 6 << 20
 #: Suffixes sorted at once.
-SORT_ROWS = 1 << 19
+SORT_ROWS = 1 << 18
 #: Bytes of the table's text to a bucket.
 BUCKET_BYTES = 4 << 20
 #: Strings of one seed beyond which it is split (as told by one document in SAMPLED: it decides where strings go, and no result).
