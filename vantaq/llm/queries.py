@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, media, packing, suffixdedup, tokencount, toxicity, urlfilter
-from .base import table
+from . import align, chat, decontam, divergence, jaccard, langid, media, packing, pieces, suffixdedup, tokencount, toxicity, urlfilter
+from .base import table, written
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", spread=True).select("text", "lang", "source"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.round_trip(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", spread=True)
+    found = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    found = found.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times")
+    counted = align.with_counts(written(found, "aligned"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
@@ -74,8 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urlfilter.oracle(), "op7_chat_formatting": chat.oracle()}
+    return {"op4_url_filters": urlfilter.oracle(), "op7_chat_formatting": chat.oracle(), "op11_source_divergence": divergence.oracle()}
