@@ -307,12 +307,58 @@ def test_question_and_answer_must_stand_together(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontam.matches(df, bench).collect()) == [(2, 1), (3, 9)]
 
 
-def test_a_large_benchmark_is_searched_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "PART_BYTES", 60)
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    df = spark.createDataFrame([(1, "x " + ITEMS[0][1]), (2, ITEMS[1][1]), (3, "nothing")], "doc_id long, text string")
-    assert len(decontam._indexes(df, bench)) > 1
-    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(df, bench).collect()) == [(1, 1), (2, 2)]
+def matched_by_hand(items: list[str], text: str, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+    """The verified items of a text: its best passage's score and overlaps, with all statistics over all items."""
+    words = [i.lower().split() for i in items]
+    text_words, found = text.lower().split(), {}
+    for i, item in enumerate(words):
+        if not item:
+            continue
+        stride = 1 << (len(item) - 1).bit_length()
+        for k in range(-1, len(text_words) // stride + 1):
+            passage = text_words[max(0, k * stride) : (k + 2) * stride]
+            score = bm25_by_hand(words, set(passage))[i]
+            if score < threshold:
+                continue
+            cut = len(item) - max(1, round(0.25 * len(item))) if len(item) >= 6 else 0
+            grams = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+            best = (0.0, 0.0)
+            for lo in range(0, max(1, len(passage) - len(item)), len(item)):
+                part = passage[lo : lo + 2 * len(item)]
+                if cut:
+                    asked, answered = grams(item[:cut], 3), grams(item[max(0, cut - 2) :], 3)
+                    got = len(asked & grams(part, 3)) / len(asked), len(answered & grams(part, 3)) / len(answered)
+                else:
+                    got = (float(bool(grams(item, len(item)) & grams(part, len(item)))),) * 2
+                best = max(best, got, key=lambda o: (min(o), max(o), o))
+            if min(best) >= overlap:
+                found[i] = max(found.get(i, (score, *best)), (score, *best))
+    return found
+
+
+@pytest.mark.parametrize("part_bytes", [64 << 20, 700])
+def test_decontamination_is_the_definition_whatever_the_parts(spark, monkeypatch, part_bytes):
+    """Items in part and in whole, of many lengths, in noise and side by side; one part and several give the same."""
+    rnd = random.Random(11)
+    vocabulary = ["w%d" % i for i in range(150)]
+    items = [" ".join(rnd.choice(vocabulary[: rnd.choice((30, 150))]) for _ in range(n)) for n in [0, 1, 2, 3, 5, 6, 7, 8, 9, 16, 17, 20, 33] + [rnd.randint(6, 40) for _ in range(30)]]
+    texts: list[str | None] = [None, "", "w1"]
+    for _ in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))]
+        for item in rnd.sample(items, 2):
+            kept = [w if rnd.random() > rnd.choice((0, 0, 0.05, 0.2)) else rnd.choice(vocabulary) for w in item.split()]
+            at = rnd.randint(0, len(words))
+            words[at:at] = kept[rnd.choice((0, 0, 2)) :]
+        texts.append(" ".join(words))
+    monkeypatch.setattr(decontam, "PART_BYTES", part_bytes)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(list(decontam.parts(bench))) == (1 if part_bytes > 1000 else 5)
+    got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontam.matches(df, bench).collect()}
+    want = {(d, i): v for d, t in enumerate(texts) for i, v in matched_by_hand(items, t or "", 0.5, 0.6).items()}
+    assert set(got) == set(want) and len(want) > 40 and sum(v[1] < 1 for v in want.values()) > 5
+    assert all(abs(x - y) < 1e-4 for k in want for x, y in zip(got[k], want[k]))
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == sorted({d for d in range(len(texts))} - {d for d, _ in want})
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):

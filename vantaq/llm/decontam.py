@@ -5,12 +5,14 @@ an item's own text scores 1 against it. Posting lists are cut into blocks of ite
 item and on those of each block. Every text is cut into overlapping passages that cover any stretch of an item's length whole; each is a
 query. As in block-max WAND, a passage is searched only if the sum of its terms' largest impacts reaches the threshold, and then a block is
 opened only if the sum of its terms' largest impacts in that block does; of open blocks alone postings are read, and every item that
-reaches the threshold is retrieved, however many there are. A retrieved pair is verified on stretches of the passage of at most
+reaches the threshold is retrieved, however many there are (scores are kept for the items of open blocks only). A retrieved pair is verified on stretches of the passage of at most
 twice the item's length: of the item's question (all but its last
 part) and of its answer, the share of ``GRAM``-word sequences found there must reach the overlap.
 
-The index covers the benchmark, PART_BYTES of its text at a time: a larger one is searched as several indexes, each with statistics of its
-own, so what is broadcast at once is bounded. Texts are processed whole.
+The number of items, the documents of each term and the mean length are counted by Spark over the whole benchmark. The benchmark is indexed PART_BYTES of its
+text at a time with these figures; of a larger one each part is searched, its results written and its broadcast dropped before the next is made, so one part
+at a time is with the driver and in a worker, and the results don't depend on the parts. A part has an index for each length class of items (up to 2, 4, 8, ... words), and
+passages are as long as the class asks, so a long item doesn't widen the passages of short ones. Texts are processed whole.
 
 Cases: null texts and those without words yield nothing; items without words match nothing; items of
 fewer than ``GRAM`` words need all of their words in sequence; of the passages of a pair the one with the best score counts, then
@@ -20,7 +22,9 @@ the best overlaps; repeated items and rows count as often as they stand there; v
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .base import per_batch
+from .base import per_batch, written
 
 U64 = np.uint64
 K1, B = 1.2, 0.75
@@ -68,12 +72,47 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def build(ids: list[int], texts: list[str | None]) -> Index:
+@dataclass
+class Statistics:
+    """Of the whole benchmark: items, their mean length, and the items of each term (keys ascending)."""
+
+    n: int
+    mean: float
+    term: np.ndarray
+    items: np.ndarray
+
+
+def item_words(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words in order."""
     words: list[np.ndarray] = []
-    for b in ts.blocks(pa.array(texts, pa.string())):
+    for b in ts.blocks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
         start, end, first, hasher, _ = ts.words(b)
         h = hasher.of(start, end)
         words += [h[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+    return words
+
+
+def build(ids: list[int | None], texts: list[str | None], known: Statistics | None = None) -> Index:
+    """One index of all these items, with the figures of the whole benchmark; without such, with their own."""
+    words = item_words(texts)
+    return _build(ids, words, known or _statistics_of(words))
+
+
+def by_class(ids: list[int | None], texts: list[str | None], known: Statistics) -> list[Index]:
+    """An index for each length class of the items: classes end at powers of two."""
+    words = item_words(texts)
+    classes: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        classes.setdefault(max(0, len(w) - 1).bit_length(), []).append(i)
+    return [_build([ids[i] for i in some], [words[i] for i in some], known) for _, some in sorted(classes.items())]
+
+
+def _statistics_of(words: list[np.ndarray]) -> Statistics:
+    term, items = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, U64)]), return_counts=True)
+    return Statistics(len(words), sum(map(len, words)) / max(1, len(words)), term, items)
+
+
+def _build(ids: list[int | None], words: list[np.ndarray], known: Statistics) -> Index:
     n = len(ids)
     size = np.array([len(w) for w in words], np.int64)
     term = np.unique(np.concatenate(words)) if n else np.zeros(0, U64)
@@ -81,9 +120,9 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
     code = np.searchsorted(term, np.concatenate(words)) if n else np.zeros(0, np.int64)
     key, tf = np.unique(code * max(n, 1) + item, return_counts=True)
     t, d = key // max(n, 1), key % max(n, 1)
-    df = np.bincount(t, minlength=len(term))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / max(1.0, size.mean() if n else 1.0)))
+    df = known.items[np.searchsorted(known.term, term)]
+    idf = np.log1p((known.n - df + 0.5) / (df + 0.5))
+    impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / max(1.0, known.mean)))
     own = np.bincount(d, impact, n)
     impact = (impact / np.maximum(own[d], 1e-12)).astype(np.float32)
     block = d // BLOCK_ITEMS
@@ -103,7 +142,7 @@ class Searcher:
         self.index, self.threshold, self.overlap = index, threshold, overlap
         self.terms = ts.Table(12)
         self.terms.add(index.term, np.arange(len(index.term), dtype=np.int32))
-        self.stride = int(max(1, index.size.max(initial=1)))
+        self.stride = 1 << int(index.size.max(initial=1) - 1).bit_length()
 
     def retrieved(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items (by number) that reach the threshold for a passage of these terms (distinct, ascending), and their scores."""
@@ -115,9 +154,10 @@ class Searcher:
         post = post[open_[block]]
         n = x.at[post + 1] - x.at[post]
         at = _ranges(x.at[post], n)
-        score = np.bincount(x.posting_item[at], x.posting_impact[at], len(x.item)) if len(at) else np.zeros(len(x.item))
+        items, place = np.unique(x.posting_item[at], return_inverse=True)
+        score = np.bincount(place, x.posting_impact[at], len(items))
         hits = np.flatnonzero(score >= self.threshold)
-        return hits, score[hits]
+        return items[hits], score[hits]
 
     def overlaps(self, i: int, words: np.ndarray) -> tuple[float, float]:
         """The best question and answer overlap (least of both first) of item i with a stretch of the words of at most twice its length."""
@@ -135,18 +175,21 @@ class Searcher:
         return best
 
     def block(self, block: ts.Block) -> list[tuple[int, int, float, float, float]]:
-        """document (in the block), item (by number), score, question and answer overlap of the best passage of each pair."""
-        x = self.index
         start, end, first, hasher, _ = ts.words(block)
-        if not len(start) or not len(x.term):
+        return self.words(hasher.of(start, end), first)
+
+    def words(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """document (in the block), item (by number), score, question and answer overlap of the best passage of each pair. ``h``: the words' hashes; ``first``: where each
+        document's start."""
+        x = self.index
+        if not len(h) or not len(x.term):
             return []
-        h = hasher.of(start, end)
         term = self.terms.find(h)
         at = np.flatnonzero(term >= 0)
         doc = np.searchsorted(first, at, "right") - 1
         k = (at - first[doc]) // self.stride
         # Passage k of a document holds its strides k and k + 1.
-        base = np.zeros(block.n + 1, np.int64)
+        base = np.zeros(len(first), np.int64)
         np.cumsum(np.diff(first) // self.stride + 2, out=base[1:])
         p = base[doc] + k
         key = np.concatenate([((p + 1) << 32) | term[at], (p << 32) | term[at]])
@@ -178,47 +221,94 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast indexes of the benchmark, each of about PART_BYTES of text at most; one at a time passes through the driver."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    out = []
-    for k in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(docs.sparkSession.sparkContext.broadcast(build([r[0] for r in rows], [r[1] for r in rows])))
-    return out
+class Part:
+    """Some items of the benchmark, with a searcher for each length class."""
+
+    def __init__(self, indexes: list[Index], threshold: float, overlap: float) -> None:
+        self.searchers = [Searcher(x, threshold, overlap) for x in indexes]
+
+    def block(self, block: ts.Block) -> Iterator[tuple[int, int | None, float, float, float]]:
+        """document (in the block), item_id, score, question and answer overlap of every verified pair."""
+        start, end, first, hasher, _ = ts.words(block)
+        h = hasher.of(start, end)
+        for s in self.searchers:
+            for d, i, *rest in s.words(h, first):
+                yield d, None if s.index.null[i] else int(s.index.item[i]), *rest
+
+
+def parts(benchmark: DataFrame) -> Iterator[tuple[list[Index], int]]:
+    """The benchmark's indexes and how many parts there are, about PART_BYTES of text at most at a time; one passes through the driver after the other."""
+
+    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = item_words(batch.column(1))
+        terms = [np.unique(w).view(np.int64) for w in found]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(terms or [np.zeros(0, np.int64)])))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in found], pa.int64()), lists], names=["item_id", "text", "size", "terms"])
+
+    read = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = written(read.mapInArrow(per_batch(words), "item_id long, text string, size long, terms array<long>"), "items")
+    whole = items.agg(F.count(F.lit(1)), F.coalesce(F.avg("size"), F.lit(0.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    frequency = items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("items"))
+    n = max(1, -(-whole[2] // PART_BYTES))
+    if n > 1:
+        frequency = written(frequency, "frequency")
+    for k in range(n):
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = some.select("item_id", "text").orderBy("item_id", "text").collect()
+        known = frequency.join(some.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toPandas() if n > 1 else frequency.toPandas()
+        term = known["term"].to_numpy(np.int64).view(U64)
+        order = np.argsort(term)
+        yield by_class([r[0] for r in rows], [r[1] for r in rows], Statistics(whole[0], whole[1], term[order], known["items"].to_numpy(np.int64)[order])), n
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """doc_id, item_id, score (1 for the item's own text), question_overlap and answer_overlap of every verified pair."""
-    indexes = _indexes(docs, benchmark)
-    state: list[Searcher] = []
 
-    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.extend(Searcher(x.value, threshold, overlap) for x in indexes)
-        rows, ids = [], batch.column(0)
-        for b in ts.blocks(batch.column(1)):
-            for s in state:
-                rows += [(ids[b.first + d].as_py(), None if s.index.null[i] else int(s.index.item[i]), *v) for d, i, *v in s.block(b)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def searched(index) -> DataFrame:
+        state: list[Part] = []
+
+        def search(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if not state:
+                state.append(Part(index.value, threshold, overlap))
+            ids = batch.column(0)
+            rows = [(ids[b.first + d].as_py(), *rest) for b in ts.blocks(batch.column(1)) for d, *rest in state[0].block(b)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return read.mapInArrow(per_batch(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+    found = []
+    for indexes, n in parts(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(indexes)
+        found.append(searched(index))
+        if n > 1:
+            found[-1] = written(found[-1], "matches")
+            index.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """The rows of docs without a verified pair."""
-    indexes = _indexes(docs, benchmark)
     at = docs.columns.index("text")
-    state: list[Searcher] = []
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.extend(Searcher(x.value, threshold, overlap) for x in indexes)
-        good = np.ones(batch.num_rows, bool)
-        for b in ts.blocks(batch.column(at)):
-            for s in state:
-                good[[b.first + d for d, *_ in s.block(b)]] = False
-        return batch.filter(pa.array(good))
-
-    return docs.mapInArrow(per_batch(keep), docs.schema)
+
+    def kept(left: DataFrame, index) -> DataFrame:
+        state: list[Part] = []
+
+        def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if not state:
+                state.append(Part(index.value, threshold, overlap))
+            good = np.ones(batch.num_rows, bool)
+            for b in ts.blocks(batch.column(at)):
+                good[[b.first + d for d, *_ in state[0].block(b)]] = False
+            return batch.filter(pa.array(good))
+
+        return left.mapInArrow(per_batch(keep), left.schema)
+
+    for indexes, n in parts(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(indexes)
+        docs = kept(docs, index)
+        if n > 1:
+            docs = written(docs, "clean")
+            index.destroy()
+    return docs
