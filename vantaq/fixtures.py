@@ -107,7 +107,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     ),
     "functions": (
         "customer",
-        "c_custkey < 150",
+        "TRUE",
         {
             "file_path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
             "name": "'handle_' || CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'view' END",
@@ -119,7 +119,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     ),
     "hunks": (
         "customer",
-        "c_custkey < 150",
+        "TRUE",
         {
             "file_path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
             "first_line": "CAST(c_custkey % 30 + 1 AS INT)",
@@ -129,7 +129,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     ),
     "sources": (
         "customer",
-        "c_custkey < 150",
+        "TRUE",
         {
             "path": "'mod' || CAST(c_custkey % 7 AS STRING) || '/' || CASE WHEN c_custkey % 11 = 0 THEN 'test_' ELSE 'f' END || CAST(c_custkey AS STRING) || '.py'",
             "text": "'import os' || chr(10) || 'x = 1' || chr(10) || '  execute(sql + param)' || chr(10) || repeat('y = ' || CAST(c_custkey AS STRING) || chr(10), CAST(c_custkey % 90 AS INT))",
