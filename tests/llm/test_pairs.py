@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -268,12 +269,12 @@ def test_block_bounds_lose_nothing():
                 assert (k, i) in found
 
 
-def bm25_by_hand(items: list[list[str]], query: set[str]) -> list[float]:
-    """Each item's score for a query, its own text's score being 1."""
+def bm25_by_hand(items: list[list[str]], query: set[str], only: int | None = None, df: dict[str, int] | None = None) -> list[float]:
+    """Each item's score for a query (or that of one item alone), its own text's score being 1."""
     n, mean = len(items), sum(map(len, items)) / len(items)
-    df = {w: sum(w in i for i in items) for w in {w for i in items for w in i}}
+    df = df or {w: sum(w in i for i in items) for w in {w for i in items for w in i}}
     part = lambda w, i: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * i.count(w) * 2.2 / (i.count(w) + 1.2 * (0.25 + 0.75 * len(i) / mean))
-    return [sum(part(w, i) for w in set(i) & query) / sum(part(w, i) for w in set(i)) if i else 0.0 for i in items]
+    return [sum(part(w, i) for w in set(i) & query) / sum(part(w, i) for w in set(i)) if i else 0.0 for i in (items if only is None else [items[only]])]
 
 
 def test_retrieved_items_are_those_of_brute_force():
@@ -311,13 +312,14 @@ def matched_by_hand(items: list[str], text: str, threshold: float, overlap: floa
     """The verified items of a text: its best passage's score and overlaps, with all statistics over all items."""
     words = [i.lower().split() for i in items]
     text_words, found = text.lower().split(), {}
+    df = Counter(w for i in words for w in set(i))
     for i, item in enumerate(words):
         if not item:
             continue
         stride = 1 << (len(item) - 1).bit_length()
         for k in range(-1, len(text_words) // stride + 1):
             passage = text_words[max(0, k * stride) : (k + 2) * stride]
-            score = bm25_by_hand(words, set(passage))[i]
+            score = bm25_by_hand(words, set(passage), i, df)[0]
             if score < threshold:
                 continue
             cut = len(item) - max(1, round(0.25 * len(item))) if len(item) >= 6 else 0
