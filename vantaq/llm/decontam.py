@@ -41,6 +41,8 @@ BLOCK_ITEMS = 16
 #: Bytes of the benchmark's text that are indexed and broadcast at once.
 PART_BYTES = 64 << 20
 GRAM = 3
+#: Block postings that are added up at once.
+AT_ONCE = 1 << 19
 #: The share of an item's words that count as its answer.
 ANSWER = 0.25
 
@@ -146,18 +148,35 @@ class Searcher:
 
     def retrieved(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items (by number) that reach the threshold for a passage of these terms (distinct, ascending), and their scores."""
-        x = self.index
-        n = x.first[mine + 1] - x.first[mine]
-        post = _ranges(x.first[mine], n)
-        block = x.block[post]
-        open_ = np.bincount(block, x.ceiling[post]) >= self.threshold - 1e-4
-        post = post[open_[block]]
-        n = x.at[post + 1] - x.at[post]
-        at = _ranges(x.at[post], n)
-        items, place = np.unique(x.posting_item[at], return_inverse=True)
-        score = np.bincount(place, x.posting_impact[at], len(items))
-        hits = np.flatnonzero(score >= self.threshold)
-        return items[hits], score[hits]
+        _, items, score = self.hits(np.zeros(len(mine), np.int64), mine)
+        return items, score
+
+    def hits(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for many passages: rows of passage (numbers from 0, ascending) and term in, passage, item and score out. Passages are taken together up to ``AT_ONCE`` block
+        postings, or one at a time."""
+        x, out = self.index, []
+        count = x.first[term + 1] - x.first[term]
+        heads = np.searchsorted(passage, np.arange(int(passage[-1]) + 2)) if len(passage) else np.zeros(1, np.int64)
+        size = ts.sums_by(count, heads)
+        blocks = len(x.item) // BLOCK_ITEMS + 1
+        k = 0
+        while k < len(size):
+            n = max(1, min(int(np.searchsorted(np.cumsum(size[k : k + AT_ONCE // blocks + 1]), AT_ONCE, "right")), AT_ONCE // blocks))
+            some = slice(heads[k], heads[min(k + n, len(size))])
+            post = _ranges(x.first[term[some]], count[some])
+            owner = np.repeat(passage[some] - k, count[some])
+            cell = owner * blocks + x.block[post]
+            open_ = (np.bincount(cell, x.ceiling[post], n * blocks) >= self.threshold - 1e-4)[cell]
+            post, owner = post[open_], owner[open_]
+            each = x.at[post + 1] - x.at[post]
+            at = _ranges(x.at[post], each)
+            cell, place = np.unique(np.repeat(owner, each) * len(x.item) + x.posting_item[at], return_inverse=True)
+            score = np.bincount(place, x.posting_impact[at], len(cell))
+            good = np.flatnonzero(score >= self.threshold)
+            out.append((cell[good] // max(1, len(x.item)) + k, cell[good] % max(1, len(x.item)), score[good]))
+            k += n
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([o[j] for o in out] or [none]) for j in range(3))
 
     def overlaps(self, i: int, words: np.ndarray) -> tuple[float, float]:
         """The best question and answer overlap (least of both first) of item i with a stretch of the words of at most twice its length."""
@@ -176,44 +195,43 @@ class Searcher:
 
     def block(self, block: ts.Block) -> list[tuple[int, int, float, float, float]]:
         start, end, first, hasher, _ = ts.words(block)
-        return self.words(hasher.of(start, end), first)
+        h = hasher.of(start, end)
+        term = self.terms.find(h)
+        at = np.flatnonzero(term >= 0)
+        return self.words(h, first, at, np.searchsorted(first, at, "right") - 1, term[at])
 
-    def words(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    def words(self, h: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """document (in the block), item (by number), score, question and answer overlap of the best passage of each pair. ``h``: the words' hashes; ``first``: where each
-        document's start."""
+        document's start; ``at``, ``doc``, ``term``: the words that are terms, in order."""
         x = self.index
-        if not len(h) or not len(x.term):
-            return []
-        term = self.terms.find(h)
-        at = np.flatnonzero(term >= 0)
-        doc = np.searchsorted(first, at, "right") - 1
-        k = (at - first[doc]) // self.stride
-        # Passage k of a document holds its strides k and k + 1.
+        # A document's strides are numbered from base on, and at least one number after them is free; passage q holds strides q - 1 and q.
         base = np.zeros(len(first), np.int64)
         np.cumsum(np.diff(first) // self.stride + 2, out=base[1:])
-        p = base[doc] + k
-        key = np.concatenate([((p + 1) << 32) | term[at], (p << 32) | term[at]])
+        stride = base[doc] + (at - first[doc]) // self.stride
+        # At first repeated terms count as often as they stand there, so that nothing is sorted for most passages.
+        most = np.bincount(stride, x.top[term], base[-1] + 1) if len(at) else np.zeros(1)
+        some = np.flatnonzero(most + np.append(0, most[:-1]) >= self.threshold - 1e-4)
+        lo, hi = np.searchsorted(stride, some - 1), np.searchsorted(stride, some, "right")
+        key = (np.repeat(some, hi - lo) << 32) | term[_ranges(lo, hi - lo)]
         key.sort()
         key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
         if not len(key):
             return []
         passage, t = key >> 32, key & 0xFFFFFFFF
         heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        stops = np.append(heads[1:], len(key))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for r in np.flatnonzero(np.add.reduceat(x.top[t], heads) >= self.threshold - 1e-4).tolist():
-            hits, score = self.retrieved(t[heads[r] : stops[r]])
-            if not len(hits):
-                continue
-            q = int(passage[heads[r]])
+        reach = np.add.reduceat(x.top[t], heads) >= self.threshold - 1e-4
+        held = np.repeat(reach, np.diff(np.append(heads, len(key))))
+        numbers = passage[heads[reach]]
+        for r, i, s in zip(*(o.tolist() for o in self.hits(np.searchsorted(numbers, passage[held]), t[held]))):
+            q = int(numbers[r])
             d = int(np.searchsorted(base, q, "right") - 1)
             lo = max(first[d], first[d] + (q - base[d] - 1) * self.stride)
             words = h[lo : min(first[d + 1], first[d] + (q - base[d] + 1) * self.stride)]
-            for i, s in zip(hits.tolist(), score.tolist()):
-                asked, answered = self.overlaps(i, words)
-                if asked >= self.overlap and answered >= self.overlap:
-                    best = (s, asked, answered)
-                    found[d, i] = max(found.get((d, i), best), best)
+            asked, answered = self.overlaps(i, words)
+            if asked >= self.overlap and answered >= self.overlap:
+                best = (s, asked, answered)
+                found[d, i] = max(found.get((d, i), best), best)
         return [(d, i, *v) for (d, i), v in sorted(found.items())]
 
 
@@ -226,13 +244,26 @@ class Part:
 
     def __init__(self, indexes: list[Index], threshold: float, overlap: float) -> None:
         self.searchers = [Searcher(x, threshold, overlap) for x in indexes]
+        keys = np.unique(np.concatenate([x.term for x in indexes] or [np.zeros(0, U64)]))
+        self.terms = ts.Table(12)
+        self.terms.add(keys, np.arange(len(keys), dtype=np.int32))
+        self.own = []  # of each class, the terms' numbers there
+        for x in indexes:
+            own = np.full(len(keys), -1, np.int64)
+            own[np.searchsorted(keys, x.term)] = np.arange(len(x.term))
+            self.own.append(own)
 
     def block(self, block: ts.Block) -> Iterator[tuple[int, int | None, float, float, float]]:
         """document (in the block), item_id, score, question and answer overlap of every verified pair."""
         start, end, first, hasher, _ = ts.words(block)
         h = hasher.of(start, end)
-        for s in self.searchers:
-            for d, i, *rest in s.words(h, first):
+        term = self.terms.find(h)
+        at = np.flatnonzero(term >= 0)
+        doc, term = np.searchsorted(first, at, "right") - 1, term[at]
+        for s, own in zip(self.searchers, self.own):
+            mine = own[term]
+            held = mine >= 0
+            for d, i, *rest in s.words(h, first, at[held], doc[held], mine[held]):
                 yield d, None if s.index.null[i] else int(s.index.item[i]), *rest
 
 
