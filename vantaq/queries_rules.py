@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import ctes, view
-from .operators import rules
+from .operators import history, rules, synthesis
 from .registry import query
 
 #: Rules made of the benchmark: its words as literals, and each two neighbouring words as an expression. Spark and DuckDB read the same text.
@@ -46,3 +46,62 @@ def u_false_positive_indicators(spark: SparkSession, sf: str) -> DataFrame:
     known = [("CWE-79", "escape"), ("CWE-79", "escape_html("), ("CWE-89", "prepare"), ("CWE-89", "execute(sql"), ("CWE-78", "validate("), ("CWE-287", "x = 1"), ("CWE-1", "x")]
     found = rules.likely_false(view(spark, sf, "findings"), spark.createDataFrame(known, "group string, pattern string"))
     return found.select("ord", F.array_join("indicators", "|").alias("indicators"))
+
+
+#: Traces are labelled documents with some signs made brackets; proposers are conversations, their turns are rounds, and the first words of a turn make its pattern.
+TRACES = """traces AS (SELECT replace(replace(replace(text, ', ', '('), '.', ')'), ' de ', ', ') AS code, toxic = 1 AS is_vulnerable FROM documents JOIN labels USING (doc_id))"""
+LINES = """lines AS (SELECT CAST(conv_id AS BIGINT) AS proposer, CAST(turn AS BIGINT) AS round, 'PATTERN c' || CAST(turn AS {text}) || ' CWE-' || CAST(conv_id AS {text}) || ' '
+  || CASE role WHEN 'user' THEN 'return' ELSE 'param[' || CAST(turn % 3 AS {text}) || ']' END || CASE WHEN length(text) % 23 = 0 THEN ' ' ELSE ' -> ' END || split_part(regexp_replace(text, '[^A-Za-z]+', ' '{g}), ' ', 2) || '[0] HIGH' AS line FROM {table})"""
+ENOUGH = 0.21
+JUDGED = f"""{TRACES}, {LINES.format(text="VARCHAR", g=", 'g'", table="conversations")},
+parsed AS (SELECT DISTINCT proposer, round, line, w[2] AS id, CASE w[4] WHEN 'return' THEN -1 ELSE CAST(regexp_extract(w[4], '[0-9]+') AS INTEGER) END AS param, split_part(w[6], '[', 1) AS sink, len(w) = 7 AS ok FROM (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines)),
+met AS (SELECT proposer, round, line, is_vulnerable FROM parsed, traces WHERE ok AND contains(code, sink) AND (param < 0 OR coalesce((
+   CASE WHEN trim(split_part(substr(code, strpos(code, sink || '(') + length(sink) + 1), ')', 1)) = '' THEN 0 ELSE len(string_split(split_part(substr(code, strpos(code, sink || '(') + length(sink) + 1), ')', 1), ',')) END) > param
+   AND strpos(code, sink || '(') > 0 AND strpos(substr(code, strpos(code, sink || '(') + length(sink) + 1), ')') > 0, FALSE))),
+c AS (SELECT proposer, round, line, count(*) FILTER (is_vulnerable) AS tp, count(*) FILTER (NOT is_vulnerable) AS fp FROM met GROUP BY ALL),
+figures AS (SELECT p.*, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, (SELECT count(*) FROM traces WHERE is_vulnerable) AS bad, (SELECT count(*) FROM traces) AS whole FROM parsed p LEFT JOIN c USING (proposer, round, line)),
+judged AS (SELECT *, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (tp + fp + bad) END AS f1 FROM figures)"""
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    code = F.replace(F.replace(F.replace("text", F.lit(", "), F.lit("(")), F.lit("."), F.lit(")")), F.lit(" de "), F.lit(", "))
+    spark.read.parquet(f"{sf}/conversations.parquet").createOrReplaceTempView("proposer_turns")
+    lines = spark.sql(f"WITH {LINES.format(text='STRING', g='', table='proposer_turns')} SELECT * FROM lines")
+    return synthesis.outcomes(lines, docs.select(code.alias("code"), (F.col("toxic") == 1).alias("is_vulnerable")))
+
+
+@query("o13_candidate_outcomes", f"WITH {JUDGED} SELECT proposer, round, CASE WHEN ok THEN id END AS id, tp, fp, whole - bad - fp AS tn, bad - tp AS fn, round(f1, 6) AS f1 FROM judged")
+def o13_candidate_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).select("proposer", "round", F.col("pattern.id").alias("id"), "tp", "fp", "tn", "fn", F.round("f1", 6).alias("f1"))
+
+
+@query(
+    "o13_converged_proposers",
+    f"""WITH {JUDGED}, n AS (SELECT *, row_number() OVER (PARTITION BY proposer ORDER BY round, line) AS n FROM judged),
+taken AS (SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.proposer = n.proposer AND m.n < n.n AND m.ok AND m.f1 >= {ENOUGH})),
+ended AS (SELECT proposer, min(n) FILTER (NOT ok) AS broken, count(*) AS taken, bool_or(ok AND f1 >= {ENOUGH}) AS reached FROM taken GROUP BY proposer),
+best AS (SELECT proposer, round, id, f1 FROM taken QUALIFY row_number() OVER (PARTITION BY proposer ORDER BY f1 DESC, n) = 1)
+SELECT proposer, CAST(CASE WHEN broken IS NULL THEN coalesce(round, -1) ELSE -1 END AS BIGINT) AS best_round, CASE WHEN broken IS NULL THEN id END AS best_id, CASE WHEN broken IS NULL THEN round(f1, 6) ELSE -1.0 END AS best_f1,
+  coalesce(broken - 1, taken) AS rounds, reached AND broken IS NULL AS stopped FROM ended JOIN best USING (proposer)""",
+)
+def o13_converged_proposers(spark: SparkSession, sf: str) -> DataFrame:
+    out = synthesis.converged(_judged(spark, sf), ENOUGH)
+    return out.withColumn("best_f1", F.coalesce(F.round("best_f1", 6), F.lit(-1.0))).withColumn("best_round", F.coalesce("best_round", F.lit(-1).cast("long")))
+
+
+ITEM = "'cwe_spec:' || cwe_id || '|0.5|Related CVE: ' || cve_id || ' (severity: ' || upper(severity[1]) || substr(severity, 2) || ')'"
+
+
+@query(
+    "j2_evidence_items",
+    f"""{ctes('findings', 'cves')}, e AS (SELECT cwe_id, string_agg({ITEM}, ';' ORDER BY ord) AS items, count(*) AS k FROM cves WHERE cwe_id IS NOT NULL GROUP BY cwe_id)
+SELECT ord, sha256(array_to_string(list_transform(evidence, lambda x: x || ':|1.0|seen'), ';') || coalesce(';' || items, '')) AS evidence_sha256, len(evidence) + coalesce(k, 0) AS n_items FROM findings LEFT JOIN e USING (cwe_id)""",
+)
+def j2_evidence_items(spark: SparkSession, sf: str) -> DataFrame:
+    seen = lambda x: F.struct(F.struct(x.alias("kind"), F.lit("").alias("label")).alias("source"), F.lit(1.0).alias("weight"), F.lit("seen").alias("detail"), F.lit(None).cast("timestamp").alias("ts"))
+    found = view(spark, sf, "findings").select("ord", "cwe_id", F.transform("evidence", seen).alias("evidence"))
+    out = history.with_cve_items(found, view(spark, sf, "cves"))
+    told = F.transform("evidence", lambda e: F.concat(e["source"]["kind"], F.lit(":"), e["source"]["label"], F.lit("|"), F.format_string("%.1f", e["weight"]), F.lit("|"), e["detail"]))
+    return out.select("ord", F.sha2(F.array_join(told, ";"), 256).alias("evidence_sha256"), F.size("evidence").cast("long").alias("n_items"))
