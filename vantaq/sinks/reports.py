@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import markdown, scoring, text
 from ..schema import SEVERITIES, severity_rank
 from .writers import sarif_level
 
@@ -180,6 +180,37 @@ def html_finding(df: DataFrame) -> Column:
     )
 
 
+def html_texts(df: DataFrame) -> Column:
+    """Description and recommendation of a finding, from markdown."""
+    part = lambda name, title: F.coalesce(F.concat(F.lit(f'<div class="{name}"><h4>{title}</h4>'), markdown.html(_col(df, name)), F.lit("</div>")), F.lit(""))
+    return F.concat(part("description", "Description"), part("recommendation", "Recommendation"))
+
+
+def appendix_entry(df: DataFrame, kind: str, reason: Column) -> Column:
+    """An entry of the appendix. Its wording and classes, for unverified findings and for dismissed ones."""
+    title, label = {"unverified": ("Unverified", "Reason"), "rejected": ("Dismissed", "Rejection Reason")}[kind]
+    esc = text.escape_html
+    line = F.coalesce(F.col("line_number").cast("string"), F.lit("N/A"))
+    return F.concat(
+        F.lit(f'<div class="finding {kind}">\n<div class="finding-header">\n<h3>'), esc(F.col("title")), F.lit(f'</h3>\n<span class="severity {kind}">{title}</span>\n</div>\n<div class="meta">\n<strong>File:</strong> '), esc(F.col("file_path")),
+        F.lit(" | <strong>Line:</strong> "), line, F.lit(f'\n</div>\n<div class="finding-details">\n<p><strong>{label}:</strong> '), esc(reason), F.lit("</p>\n</div>\n</div>"),
+    )
+
+
+def appendices(unverified: DataFrame, rejected: DataFrame) -> DataFrame:
+    """section, rank, ord, part of both appendices; one without entries is left out. unverified: findings with ``reason`` (null: none is told); rejected: the same. The headings."""
+
+    def whole(df: DataFrame, section: int, kind: str, head: str, counted: str) -> DataFrame:
+        reason = F.coalesce("reason", F.lit("No evidence detail available"))
+        entries = df.select(F.lit(section).alias("section"), F.lit(1).alias("rank"), F.col("ord").cast("long").alias("ord"), appendix_entry(df, kind, reason).alias("part"))
+        n = df.agg(F.count("*").alias("n")).filter("n > 0")
+        opening = F.concat(F.lit(f'<section class="{kind}-appendix"><h2>{head}</h2>\n<p class="finding-count">'), F.col("n").cast("string"), F.lit(f" {counted}</p>"))
+        ends = n.select(F.lit(section).alias("section"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("ord"), opening.alias("part")).union(n.select(F.lit(section), F.lit(2), F.lit(0).cast("long"), F.lit("</section>")))
+        return ends.union(entries)
+
+    return whole(unverified, 1, "unverified", "Appendix: Unverified Findings", "unverified findings excluded from main report").union(whole(rejected, 2, "rejected", "Investigated & Dismissed", "findings were investigated and dismissed"))
+
+
 def html_document(findings: DataFrame, project: str) -> DataFrame:
     """Cards by severity, the priority section (critical and high), then all findings by file, then unverified ones."""
     spark = findings.sparkSession

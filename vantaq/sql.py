@@ -17,13 +17,13 @@ from .operators import code, graphs, planning
 from .schema import SEVERITIES
 
 
-@udtf(returnType="path string, callee string, line long")
+@udtf(returnType="path string, callee string, args long")
 class CallSites:
     """vq_call_sites(TABLE(path, text))"""
 
     def eval(self, row: Row) -> Iterator[tuple]:
-        for callee, line in code.call_sites(row["text"] or ""):
-            yield row["path"], callee, line
+        for callee, args in code.call_sites(row["text"] or ""):
+            yield row["path"], callee, args
 
 
 @udtf(returnType="path string, name string, line long, body string")
