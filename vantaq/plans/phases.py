@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..operators import findings as ops
 from ..operators import history, planning
+from ..tables import settled
 
 #: All phases in the order in which they run, and those that only the full profile has.
 PHASES = (
@@ -59,6 +60,17 @@ def merged(detectors: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def isolated(detectors: dict[str, DataFrame], health: dict[str, str]) -> dict[str, DataFrame]:
+    """The detectors whose rows could be computed, each written once; of the others ``health`` tells the first line of why. A scan goes on with those that worked."""
+    out = {}
+    for name, df in detectors.items():
+        try:
+            out[name] = settled(df, "detector")
+        except Exception as e:  # whatever a detector does wrong is its own; it is told, and the scan's other branches count
+            health[f"detector:{name}"] = f"failed: {str(e).splitlines()[0][:200] if str(e) else type(e).__name__}"
+    return out
+
+
 def _score(df: DataFrame) -> DataFrame:
     names = ("confidence_score", "verification_status", "sources", "code_snippet", "cwe_id", "severity", "file_path", "verification_notes", "title", "description")
     cross = F.col("related_finding_ids").isNotNull() if "related_finding_ids" in df.columns else F.lit(False)
@@ -109,7 +121,7 @@ def scan(spark: SparkSession, inputs: Inputs, profile: str = "core", skip: tuple
     if last >= 0:
         df = spark.read.parquet(done[phases[last]])
     else:
-        df = ops.structural_dedup(merged(inputs.detectors)).drop("island_size")
+        df = settled(ops.structural_dedup(merged(isolated(inputs.detectors, health))).drop("island_size"), "detected")
     early = stop_at is not None and planning.medium_or_worse(df, stop_at).first()["terminate"]
     for k, phase in enumerate(phases):
         if k <= last:

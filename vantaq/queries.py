@@ -308,7 +308,17 @@ def j3_whole(spark, sf):
     return findings.cross_file_pairs(f, f.filter("ord % 20 = 0"))
 
 
-@query("j3_cross_file_counts_whole")
+#: Partners are counted without pairs: those of the weakness, and those of the severity that share a source (by inclusion and exclusion over the sets of up to two sources), less those of both; each
+#: less those of the own file.
+J3_COUNTS = f"""{FIND}, s AS (SELECT ord, file_path, cwe_id, severity, unnest(CASE WHEN len(sources) = 1 THEN [sources] ELSE [[sources[1]], [sources[2]], list_sort(sources)] END) AS part FROM findings),
+k AS (SELECT ord, CASE len(part) WHEN 1 THEN 1 ELSE -1 END * (count(*) OVER (PARTITION BY severity, part) - count(*) OVER (PARTITION BY severity, part, file_path)
+  - CASE WHEN cwe_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY severity, part, cwe_id) - count(*) OVER (PARTITION BY severity, part, cwe_id, file_path) END) AS n FROM s),
+c AS (SELECT ord, CASE WHEN cwe_id IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY cwe_id) - count(*) OVER (PARTITION BY cwe_id, file_path) END AS n FROM findings),
+t AS (SELECT ord, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM c) GROUP BY ord)
+SELECT ord, n FROM t WHERE n > 0"""
+
+
+@query("j3_cross_file_counts_whole", J3_COUNTS)
 def j3n_whole(spark, sf):
     return findings.cross_file_counts(view(spark, sf, "findings")).filter("n > 0")
 
@@ -453,7 +463,7 @@ def nearest_whole(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return retrieval.nearest_in_blocks(v, v.filter("doc % 20 = 0").select(F.col("doc").alias("query"), "embedding"), k)
 
 
-@query("o2_cosine_top10_whole")
+@query("o2_cosine_top10_whole", VEC.replace("doc < 5", "doc % 20 = 0") + " SELECT query, doc, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10")
 def o2_whole(spark, sf):
     return nearest_whole(spark, sf, 10).select("query", "doc", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
