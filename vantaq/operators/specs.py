@@ -116,3 +116,12 @@ def with_spec_evidence(findings: DataFrame, best: DataFrame) -> DataFrame:
     """findings (ord) with spec_evidence: their specifications' texts, best first. best: query (ord), rank, description."""
     listed = best.groupBy(F.col("query").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: F.concat(F.lit("Matched known vulnerability specification: "), x["description"])).alias("spec_evidence"))
     return findings.join(listed, "ord", "left")
+
+
+def similar_variants(lines: DataFrame, pattern: str, keywords: list[str], least: float = 0.5) -> DataFrame:
+    """``lines`` (text) that are similar enough to a known case, with similarity: whether the case's pattern matches, and how many of its keywords stand there, case aside."""
+    from ..functions import scoring
+
+    low = F.lower("text")
+    hits = sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keywords), F.lit(0))
+    return lines.withColumn("similarity", scoring.variant_similarity(F.col("text").rlike(pattern), hits)).filter(F.round("similarity", 6) >= least)
