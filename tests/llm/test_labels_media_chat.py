@@ -429,3 +429,12 @@ def test_media_query_is_what_the_text_says(spark):
         g = got[r.doc_id]
         assert (g.media_bytes, g.media_sha256, g.feature) == (len(stored := media.encode(media.pad(raw))), hashlib.sha256(stored).hexdigest(), media.feature(media.pad(raw)))
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) and g.error is None
+
+
+def test_url_filters_ignore_other_columns(spark):
+    from vantaq.llm import urlfilter
+
+    rows = spark.createDataFrame([(1, "http://a.net/x", "r", 1), (2, None, "r", 2), (2, "x", "r", 2)], "page_id long, url string, rule string, host int")
+    got = urlfilter.judged(rows)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, urlfilter.judged(rows.select("page_id", "url")).collect())) and got.count() == 3

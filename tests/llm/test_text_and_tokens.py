@@ -169,3 +169,15 @@ def test_token_counts_end_to_end(spark):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 20) for i, t, _ in rows]
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
     assert tokencount.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_special_tokens_with_conditions_are_refused(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        known = json.load(f)
+    known["added_tokens"][0]["lstrip"] = True
+    wrong = tmp_path / "t.json"
+    wrong.write_text(json.dumps(known))
+    with pytest.raises(ValueError, match="conditions"):
+        tokencount.Counter(str(wrong))

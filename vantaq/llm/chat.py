@@ -12,7 +12,7 @@ one output string and stays together.
 
 Cases: null text is empty, and empty text parts leave no trace; a null role is an empty role; a turn with null or absent content has
 its text as one part; a part of an unknown kind is its text; null sizes of attachments count as 0, a null reference is empty; rows
-of equal turn go by role, text, then content, and rows that repeat are turns each; a null conv_id is a conversation of its own; very
+of equal turn go by role, text, then content, and rows that repeat are turns each; all rows with a null conv_id make one conversation, whose id is null; very
 long texts are kept whole; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 

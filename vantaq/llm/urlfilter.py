@@ -11,7 +11,7 @@ allow wins. URLs that no rule matches are judged by glob patterns over the host
 
 Cases: a null URL, or one without ``://``, has an empty host and path, which no rule with a path matches; very long URLs are
 run whole; repeated rows are judged each; of rules that fit the longest decides, of equally long ones the allowing; an empty table gives no
-rows; other columns stay, but for host, path, rule and verdict, which are replaced.
+rows; only page_id and url are read, and other columns, whatever their names, are not in the result.
 """
 
 from __future__ import annotations
