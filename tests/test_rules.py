@@ -15,7 +15,11 @@ from vantaq.operators import rules
     [("abc", "abc"), ("ab+c", "a"), (r"add_action\(\s*['\"](?P<hook>\w+)['\"]", "add_action("), ("a|bcd", ""), (r"\w+", ""), ("x(?:yz)w", "xyzw"), ("(abc)?de", "de"), ("q{0,3}rst", "rst"), ("(?:ab){2}", "ab"), ("ab+cd", "cd"), ("", ""), ("(?i:abc)de", "de"), ("a.cd", "cd")],
 )
 def test_required_literals(pattern, literal):
-    assert rules.required_literal(pattern) == literal
+    assert (rules.required_literals(pattern) or [""])[0] == literal
+
+
+def test_all_required_literals():
+    assert rules.required_literals(r"foo[ ,]+ba(?:r|z)qux.") == ["foo", "qux", "ba"] and rules.required_literals("a*|b") == []
 
 
 def table(spark, rows):

@@ -1,7 +1,7 @@
 """Rule tables of users against texts: many literals and expressions in one pass.
 
-Each rule has a literal that its matches must hold: itself, or the longest one that its expression cannot do without. An Aho-Corasick automaton of these literals reads each
-text once, and only rules whose literal was met are tried; expressions without such a literal are tried on every text.
+Each rule has literals that its matches must hold: itself, or all that its expression cannot do without. An Aho-Corasick automaton of these literals reads each
+text once, and only rules all of whose literals were met are tried; expressions without such a literal are tried on every text.
 """
 
 from __future__ import annotations
@@ -25,17 +25,12 @@ HITS = "rule string, n long, first long"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def required_literal(pattern: str) -> str:
-    """The longest literal that every match of an expression holds; empty where there is none."""
-    best, run = "", ""
+def required_literals(pattern: str) -> list[str]:
+    """The literals that every match of an expression holds, the longest first."""
+    found, run = [], ""
 
     def walk(items) -> None:
-        nonlocal best, run
-
-        def cut() -> None:
-            nonlocal best, run
-            best, run = max(best, run, key=len), ""
-
+        nonlocal run
         for op, value in items:
             if op is _constants.LITERAL:
                 run += chr(value)
@@ -43,14 +38,15 @@ def required_literal(pattern: str) -> str:
             if op is _constants.SUBPATTERN and not value[1] and not value[2]:
                 walk(value[3])
                 continue
-            cut()
+            found.append(run)
+            run = ""
             if op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT) and value[0] > 0:
                 walk(value[2])
-                cut()
-        return None
+                found.append(run)
+                run = ""
 
     walk(_parser.parse(pattern))
-    return max(best, run, key=len)
+    return sorted({x for x in (*found, run) if x}, key=lambda x: (-len(x), x))
 
 
 class Matcher:
@@ -60,7 +56,7 @@ class Matcher:
         import ahocorasick
 
         self.rules, self.always = [], []
-        by_literal: dict[tuple[bool, str], list[int]] = {}
+        by_literal: dict[tuple[bool, str], list[tuple[int, tuple[str, ...]]]] = {}
         for rule, group, kind, pattern, ignore in rules:
             if kind not in KINDS:
                 raise ValueError(f"rule {rule}: kind {kind} is none of {KINDS}")
@@ -70,9 +66,13 @@ class Matcher:
                 raise ValueError(f"rule {rule}: {e}") from e
             k = len(self.rules)
             self.rules.append((rule, group, compiled, pattern if kind == "literal" and not ignore else None))
-            literal = pattern if kind == "literal" else required_literal(pattern)
-            if literal:
-                by_literal.setdefault((ignore, literal.translate(FOLD) if ignore else literal), []).append(k)
+            literals = [pattern] if kind == "literal" else required_literals(pattern)
+            literals = [x.translate(FOLD) for x in literals] if ignore else literals
+            # A rule waits at its longest literal for all others.
+            for x in literals:
+                by_literal.setdefault((ignore, x), [])
+            if literals:
+                by_literal[ignore, literals[0]].append((k, tuple(literals[1:])))
             else:
                 self.always.append(k)
         self.machines = []
@@ -80,7 +80,7 @@ class Matcher:
             machine = ahocorasick.Automaton()
             for (folded, literal), found in by_literal.items():
                 if folded == ignore:
-                    machine.add_word(literal, tuple(found))
+                    machine.add_word(literal, (literal, tuple(found)))
             if len(machine):
                 machine.make_automaton()
                 self.machines.append((ignore, machine))
@@ -91,8 +91,9 @@ class Matcher:
             text = ""
         tried = set(self.always)
         for ignore, machine in self.machines:
-            for found in {f for _, f in machine.iter(text.translate(FOLD) if ignore else text)}:
-                tried.update(found)
+            met = dict(value for _, value in machine.iter(text.translate(FOLD) if ignore else text))
+            for found in met.values():
+                tried.update(k for k, others in found if all(x in met for x in others))
         out = []
         for k in sorted(tried):
             rule, only, compiled, plain = self.rules[k]
