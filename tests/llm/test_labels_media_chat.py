@@ -408,7 +408,7 @@ def test_conversations(spark):
 def test_queries_and_sql_are_named_alike():
     from vantaq.llm import queries
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
