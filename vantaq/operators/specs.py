@@ -112,10 +112,17 @@ def best_specs(scored: DataFrame, k: int, within_domain: bool = False) -> DataFr
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def with_spec_evidence(findings: DataFrame, best: DataFrame) -> DataFrame:
-    """findings (ord) with spec_evidence: their specifications' texts, best first. best: query (ord), rank, description."""
-    listed = best.groupBy(F.col("query").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: F.concat(F.lit("Matched known vulnerability specification: "), x["description"])).alias("spec_evidence"))
-    return findings.join(listed, "ord", "left")
+def first_of_class(specs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k first specifications (spec) of each class (keys). Where a score depends on a specification's class alone, the k best of any finding are among these, as equal scores go by spec;
+    so findings of one class too meet them once, and pairs don't grow with either table."""
+    order = Window.partitionBy(*keys).orderBy("spec")
+    return specs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
+def with_spec_evidence(findings: DataFrame, best: DataFrame, key: str = "ord") -> DataFrame:
+    """findings (ord) with spec_evidence: their specifications' texts, best first. best: query (what findings have as ``key``: ord, or a class of findings), rank, description."""
+    listed = best.groupBy(F.col("query").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: F.concat(F.lit("Matched known vulnerability specification: "), x["description"])).alias("spec_evidence"))
+    return findings.join(listed, key, "left")
 
 
 def similar_variants(lines: DataFrame, pattern: str, keywords: list[str], least: float = 0.5) -> DataFrame:
