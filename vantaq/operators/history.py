@@ -131,16 +131,20 @@ def cves_by_weakness(cves: DataFrame) -> DataFrame:
     return cves.filter("cwe_id IS NOT NULL").groupBy("cwe_id").agg(F.array_sort(F.collect_set("cve_id")).alias("cve_ids"))
 
 
+def cve_items(cves: DataFrame) -> DataFrame:
+    """cwe_id, ord, cve_id and item of each vulnerability with a weakness: source (cwe_spec, the weakness), weight 0.5 and a detail with id and severity. cves: ord, cve_id, cwe_id, severity."""
+    source = F.struct(F.lit("cwe_spec").alias("kind"), F.col("cwe_id").alias("label"))
+    detail = F.concat(F.lit("Related CVE: "), "cve_id", F.lit(" (severity: "), F.coalesce(F.initcap("severity"), F.lit("unknown")), F.lit(")"))
+    item = F.struct(source.alias("source"), F.lit(0.5).alias("weight"), detail.alias("detail"), F.lit(None).cast("timestamp").alias("ts"))
+    return cves.filter("cwe_id IS NOT NULL AND cve_id IS NOT NULL").select("cwe_id", "ord", "cve_id", item.alias("item"))
+
+
 def with_cve_items(findings: DataFrame, cves: DataFrame) -> DataFrame:
-    """``findings`` with an item appended to evidence for each vulnerability of their weakness, in the order of ord: source (cwe_spec, the weakness), weight 0.5 and a detail with id and severity. Items are built once
+    """``findings`` with an item appended to evidence for each vulnerability of their weakness, in the order of ord: those of ``cve_items``. Items are built once
     a weakness and joined late, so findings carry none through earlier steps. cves: ord, cve_id, cwe_id, severity; a vulnerability of several weaknesses has a row for each.
 
     Cases: findings without a weakness, or with one that no vulnerability has, keep their evidence, null evidence too; a null severity is written as unknown; repeated rows of cves are items each."""
-    source = F.struct(F.lit("cwe_spec").alias("kind"), F.col("cwe_id").alias("label"))
-    detail = F.concat(F.lit("Related CVE: "), "cve_id", F.lit(" (severity: "), F.coalesce(F.initcap("severity"), F.lit("unknown")), F.lit(")"))
-    item = F.struct(source.alias("source"), F.lit(0.5).alias("weight"), detail.alias("detail"), F.lit(None).cast("timestamp").alias("ts"))
-    known = cves.filter("cwe_id IS NOT NULL AND cve_id IS NOT NULL")
-    listed = known.groupBy("cwe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "cve_id", item.alias("item")))), lambda x: x["item"]).alias("_items"))
+    listed = cve_items(cves).groupBy("cwe_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "cve_id", "item"))), lambda x: x["item"]).alias("_items"))
     kind = findings.schema["evidence"].dataType
     both = findings.join(listed, "cwe_id", "left")
     more = F.concat(F.coalesce("evidence", F.array().cast(kind)), F.col("_items"))
