@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,20 +96,26 @@ def cut_code(text: Column, most: int = CODE_BYTES) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(cut(text))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f names more than once, worked out once: the optimizer would repeat it at every place, and what it is made of again at every place therein."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def imports(code: Column) -> Column:
     """Import lines among the first 50."""
     t = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    lines = F.transform(F.slice(_lines(code), 1, 50), t)
+    # Most lines hold none of these words, and are not trimmed.
+    may = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in ("import ", "require ", "use ", "#include", "const ")])
     is_import = lambda x: x.rlike(r"^(import |require |use |#include)") | (x.startswith("const ") & F.contains(x, F.lit(" = require(")))
-    return F.filter(lines, is_import)
+    return F.filter(F.transform(F.filter(F.slice(_lines(code), 1, 50), may), t), is_import)
 
 
 def retrieval_query(path: Column, sinks: Column, imported: Column, cwes: Column, code: Column) -> Column:
     """What to search specifications for: sinks, imports and weaknesses; the first 20 lines where there are none."""
-    part = lambda head, items, sep: F.when(F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0, F.concat(F.lit(head), F.array_join(items, sep)))
-    parts = F.array_compact(F.array(part("sinks: ", sinks, ", "), part("imports: ", imported, "; "), part("suspected CWEs: ", cwes, ", ")))
+    part = lambda head, items, sep: _once(items, lambda x: F.when(F.size(F.coalesce(x, F.array().cast("array<string>"))) > 0, F.concat(F.lit(head), F.array_join(x, sep))))
+    found = F.array_compact(F.array(part("sinks: ", sinks, ", "), part("imports: ", imported, "; "), part("suspected CWEs: ", cwes, ", ")))
     head = F.array_join(F.slice(_lines(code), 1, 20), " ")
-    return F.concat_ws(" ", path, F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(head))
+    return F.concat_ws(" ", path, _once(found, lambda parts: F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(head)))
 
 
 def _lines(text: Column) -> Column:
@@ -116,12 +125,11 @@ def _lines(text: Column) -> Column:
 
 def unified_diff(response: Column, path: Column) -> Column:
     """The diff of that file in a response: from its header to the end or to a code fence; null without a header or a hunk."""
-    lines = _lines(response)
-    start = F.array_position(F.transform(lines, lambda x: F.startswith(F.ltrim(x), F.concat(F.lit("--- a/"), path))), True).cast("int")
-    tail = F.when(start > 0, F.slice(lines, start, F.size(lines)))
-    stop = F.array_position(F.transform(tail, lambda x: x.startswith("```")), True).cast("int")
-    diff = F.array_join(F.when(stop > 0, F.slice(tail, F.lit(1), stop - 1)).otherwise(tail), "\n")
-    return F.when(F.contains(diff, F.lit("@@")), diff)
+    at = lambda lines, test: F.array_position(F.transform(lines, test), True).cast("int")
+    head = F.concat(F.lit("--- a/"), path)
+    tail = _once(_lines(response), lambda lines: _once(at(lines, lambda x: F.startswith(F.ltrim(x), head)), lambda start: F.when(start > 0, F.slice(lines, start, F.size(lines)))))
+    cut = lambda rest: _once(at(rest, lambda x: x.startswith("```")), lambda stop: F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest))
+    return _once(F.array_join(_once(tail, cut), "\n"), lambda diff: F.when(F.contains(diff, F.lit("@@")), diff))
 
 
 def plain_ascii(text: Column) -> Column:
