@@ -51,7 +51,8 @@ def sql_execution_orders(spark: SparkSession, sf: str) -> DataFrame:
     nodes.createOrReplaceTempView("sql_steps")
     edges.createOrReplaceTempView("sql_edges")
     rows = "SELECT flow, -1L AS n, idx AS a, CAST(NULL AS BIGINT) AS b FROM sql_steps UNION ALL SELECT flow, n, a, b FROM sql_edges WHERE kind = 'data'"
-    return spark.sql(f"SELECT flow, min_by(CAST(place AS STRING) || ':' || CAST(idx AS STRING), place) AS first_step, count(*) AS n_steps FROM vq_execution_order(TABLE({rows}) PARTITION BY flow ORDER BY n) GROUP BY flow")
+    packed = f"SELECT flow, collect_list(a) FILTER (WHERE b IS NULL) AS steps, collect_list(n) FILTER (WHERE b IS NOT NULL) AS n, collect_list(a) FILTER (WHERE b IS NOT NULL) AS a, collect_list(b) AS b FROM ({rows}) GROUP BY flow"
+    return spark.sql(f"SELECT flow, '0:' || CAST(steps[0] AS STRING) AS first_step, CAST(size(steps) AS BIGINT) AS n_steps FROM vq_ordered_flows(TABLE({packed}))")
 
 
 @query("sql_severities", f"{FIND} SELECT ord, CASE WHEN severity IN ('critical', 'high') THEN severity ELSE 'medium' END AS raised FROM findings")

@@ -133,7 +133,19 @@ class ExecutionOrder:
                 yield self.flow, k, idx
 
 
-TABLES = {"vq_call_sites": CallSites, "vq_functions": Functions, "vq_chunks": Chunks, "vq_islands": Islands, "vq_outermost": Outermost, "vq_baselines": Baselines, "vq_execution_order": ExecutionOrder}
+@udtf(returnType="flow long, steps array<long>")
+class OrderedFlows:
+    """vq_ordered_flows(TABLE(flow, steps, n, a, b)): ``vq_execution_order`` of flows that are a row each: steps, and the data edges as three arrays side by side; many flows cross to Python at once, and no group
+    is dealt. No row for a cycle."""
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        steps = sorted(set(row["steps"]))
+        order = graphs._lifo(steps, list(zip(row["n"], row["a"], row["b"])))
+        if len(order) == len(steps):
+            yield row["flow"], order
+
+
+TABLES = {"vq_call_sites": CallSites, "vq_functions": Functions, "vq_chunks": Chunks, "vq_islands": Islands, "vq_outermost": Outermost, "vq_baselines": Baselines, "vq_execution_order": ExecutionOrder, "vq_ordered_flows": OrderedFlows}
 #: name: (parameters, type, expression)
 SCALARS = {
     "vq_severity_rank": ("severity STRING", "INT", "CASE severity " + " ".join(f"WHEN '{s}' THEN {4 - k}" for k, s in enumerate(SEVERITIES)) + " END"),
