@@ -46,7 +46,7 @@ def sql_outermost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sql_execution_orders", f"WITH RECURSIVE {FLOWS.format(text='VARCHAR')}, {CYCLES}" + ORDERS.split(CYCLES, 1)[1].replace("SELECT flow, array_to_string(done, ',') AS steps", "SELECT flow, list_transform(range(len(done)), lambda k: CAST(k AS VARCHAR) || ':' || done[k + 1])[1] AS first_step, len(done) AS n_steps"))
 def sql_execution_orders(spark: SparkSession, sf: str) -> DataFrame:
-    sql.register(spark)
+    sql.register_packed(spark)
     _, nodes, edges = flows(spark, sf)
     nodes.createOrReplaceTempView("sql_steps")
     edges.createOrReplaceTempView("sql_edges")

@@ -145,7 +145,9 @@ class OrderedFlows:
             yield row["flow"], order
 
 
-TABLES = {"vq_call_sites": CallSites, "vq_functions": Functions, "vq_chunks": Chunks, "vq_islands": Islands, "vq_outermost": Outermost, "vq_baselines": Baselines, "vq_execution_order": ExecutionOrder, "vq_ordered_flows": OrderedFlows}
+TABLES = {"vq_call_sites": CallSites, "vq_functions": Functions, "vq_chunks": Chunks, "vq_islands": Islands, "vq_outermost": Outermost, "vq_baselines": Baselines, "vq_execution_order": ExecutionOrder}
+#: Forms of these that take a group as one row.
+PACKED_TABLES = {"vq_ordered_flows": OrderedFlows}
 #: name: (parameters, type, expression)
 SCALARS = {
     "vq_severity_rank": ("severity STRING", "INT", "CASE severity " + " ".join(f"WHEN '{s}' THEN {4 - k}" for k, s in enumerate(SEVERITIES)) + " END"),
@@ -161,3 +163,10 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     return [*TABLES, *SCALARS]
+
+
+def register_packed(spark: SparkSession) -> list[str]:
+    """Makes the forms that take a group as one row known to the session; their names."""
+    for name, function in PACKED_TABLES.items():
+        spark.udtf.register(name, function)
+    return [*PACKED_TABLES]
